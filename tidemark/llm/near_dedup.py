@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = cut(components(links), "labels")
 
     moved = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "id", "last").where("component <> id or last <> id").select("set_key", "component")
-    result = signed.drop("bands").join(moved, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    result = signed.drop("bands").join(moved, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
