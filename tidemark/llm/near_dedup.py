@@ -4,9 +4,10 @@ Each permutation is evaluated once per shingle and yields two signature values,
 the minimum and the maximum, so a signature of 2P values costs P evaluations.
 Rows of equal shingle sets form one class first; only class representatives are
 banded.  A bucket (equal band) never emits all its pairs: its members are first
-compared with pivots, linked members merge, and only members that are still in
-different components meet, until no pair that shares a bucket is left open.
-Every link is confirmed on full shingle sets.
+compared with pivots and linked members merge; the members of buckets that still
+hold several components then go through an exact prefix join on their rarest
+shingles, which leaves no pair that shares a bucket undecided.  Every link is
+confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tidemark.llm.shared import components, cut, drop
 BANDS = 42
 PERMUTATIONS_PER_BAND = 3  # six values: a pair of similarity 0.8 shares a band with probability 1 - 3e-6
 ID_BITS = 12  # documents of one slice are told apart by the top bits of the sort key
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 2  # before the exact join
 
 
 def _constants(bands: int, per_band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +138,60 @@ def verifier(percent: int):
     return verify
 
 
+SKETCH_BITS = 20  # a table of 2**20 counters, whatever the corpus
+
+
+def counter(batches):
+    """mapInArrow function (members) -> (slot, c): how often the shingles of each hash slot occur."""
+    for batch in batches:
+        values = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(0)] or [np.zeros(0, np.uint64)])
+        slot, c = np.unique(values >> np.uint64(52 - SKETCH_BITS), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(c.astype(np.int64))], ["slot", "c"])
+
+
+def prefixes(load, percent: int):
+    """mapInArrow function (id, comp, n, members) -> the shingles of each set's prefix, rarest first, with their places."""
+
+    def emit(batches):
+        weight = load.value
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                v = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
+                length = len(v) - (percent * len(v) + 99) // 100 + 1
+                out.append(v[np.lexsort((v, weight[(v >> np.uint64(52 - SKETCH_BITS)).astype(np.int64)]))[:length]])
+            sizes = np.array([len(x) for x in out], dtype=np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            shingle = np.concatenate(out or [np.zeros(0, np.uint64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), *(batch.column(k).take(pa.array(row)) for k in range(3)), pa.array(place.astype(np.int32))], ["shingle", "id", "comp", "n", "place"])
+
+    return emit
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still reach the similarity, none left out.
+
+    Two similar sets share a shingle among the first n - ceil(t*n) + 1 in any
+    order common to all sets, and the first one shared leaves room for the
+    overlap that the similarity asks for.  The order is by rarity, so copies of a
+    common passage do not meet.  Within a shingle, rows of its largest component
+    meet only those of others, so a large group of copies stays linear.
+    """
+    spark = sets.sparkSession
+    counts = sets.select("members").mapInArrow(counter, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    load = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    load[counts["slot"].to_numpy()] = counts["c"].to_numpy()
+    rows = cut(sets.select("id", "comp", "n", "members").mapInArrow(prefixes(spark.sparkContext.broadcast(load), percent), "shingle long, id long, comp long, n long, place int"), "prefixes")
+    held = rows.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
+    mixed = held.groupBy("shingle").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("shingle", "main")
+    met = cut(rows.join(mixed, "shingle"), "met")
+    fewer = met.where("comp <> main").select("shingle", *[F.col(c).alias("o_" + c) for c in ("id", "comp", "n", "place")])
+    room = F.expr(f"{100 + percent} * least(n - place, o_n - o_place) >= {percent} * (n + o_n)")
+    meet = met.join(fewer, "shingle").where((F.col("comp") != F.col("o_comp")) & room)
+    return meet.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, per_band: int = PERMUTATIONS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each input row.
 
@@ -183,10 +238,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), "links"))
         tried = tried.unionByName(pairs)
         labels = cut(components(links), "labels")
-    rows = cut(open_buckets(), "open")
-    other = rows.select("h", F.col("id").alias("b"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-    pairs = rows.join(other, "h").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("pcomp")) & size_ok).select(F.col("id").alias("a"), "b").distinct()
-    links = links.unionByName(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), "links"))
+    members = open_buckets().select("id", "comp", "n").distinct()
+    candidates = cut(prefix_pairs(cut(sets.join(members, "id"), "open"), percent), "pairs")
+    links = links.unionByName(confirmed(candidates.join(tried, ["a", "b"], "left_anti"), "links"))
     labels = cut(components(links), "labels")
 
     moved = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "id", "last").where("component <> id or last <> id").select("set_key", "component")
@@ -198,3 +252,25 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all columns, without those whose document has an earlier near copy; rows repeated under one id all stay."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM worded
+), flat AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+), lowest AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN lowest ON doc_id = a
+"""

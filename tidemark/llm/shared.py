@@ -12,6 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # bounds what a Python worker holds of long texts
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
