@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm import mixing, near_dedup, secrets
 from tidemark.llm.shared import table
 
 
 def op1_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op5_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {"op1_near_dedup": op1_near_dedup}
+    return {"op1_near_dedup": op1_near_dedup, "op5_mix_sources": op5_mix_sources, "op7_secrets": op7_secrets}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_near_dedup": near_dedup.ORACLE, "op5_mix_sources": mixing.ORACLE}
