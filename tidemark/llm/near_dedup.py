@@ -23,7 +23,7 @@ from tidemark.llm.shared import components, cut, drop
 BANDS = 42
 PERMUTATIONS_PER_BAND = 3  # six values: a pair of similarity 0.8 shares a band with probability 1 - 3e-6
 ID_BITS = 12  # documents of one slice are told apart by the top bits of the sort key
-PIVOT_ROUNDS = 2  # before the exact join
+PIVOT_ROUNDS = 1  # before the exact join
 
 
 def _constants(bands: int, per_band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def verifier(percent: int):
     return verify
 
 
-SKETCH_BITS = 20  # a table of 2**20 counters, whatever the corpus
+SKETCH_BITS = 18  # a table of 2**18 counters, whatever the corpus
 
 
 def counter(batches):
@@ -179,7 +179,7 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     meet only those of others, so a large group of copies stays linear.
     """
     spark = sets.sparkSession
-    counts = sets.select("members").mapInArrow(counter, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    counts = sets.select("members").mapInArrow(counter, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
     load = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     load[counts["slot"].to_numpy()] = counts["c"].to_numpy()
     rows = cut(sets.select("id", "comp", "n", "members").mapInArrow(prefixes(spark.sparkContext.broadcast(load), percent), "shingle long, id long, comp long, n long, place int"), "prefixes")
