@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, near_dedup, secrets
+from tidemark.llm import avi, line_dedup, mixing, near_dedup, secrets, warc
 from tidemark.llm.shared import table
 
 
@@ -10,17 +10,32 @@ def op1_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_warc(spark, sf_dir):
+    return warc.digest_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_avi(spark, sf_dir):
+    return avi.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_near_dedup, op3_warc, op5_mix_sources, op6_line_dedup, op7_secrets, op10_avi)
+
+
 def queries() -> dict:
-    return {"op1_near_dedup": op1_near_dedup, "op5_mix_sources": op5_mix_sources, "op7_secrets": op7_secrets}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"op1_near_dedup": near_dedup.ORACLE, "op5_mix_sources": mixing.ORACLE}
+    return {"op1_near_dedup": near_dedup.ORACLE, "op3_warc": warc.ORACLE, "op5_mix_sources": mixing.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
