@@ -1,16 +1,49 @@
-"""The corpus pipeline: STAGES applied one after another to `documents`, each stage's rows written before the next reads them."""
+"""The corpus pipeline: STAGES applied one after another to `documents`, each stage's rows written before the next reads them.
+
+Every stage takes all rows that its predecessor kept and returns the columns of
+documents; the last one adds mix_taken, the words that the mix takes of each row.
+"""
 
 from __future__ import annotations
 
-from tidemark.llm.near_dedup import keep_one_of_each
+from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
 from tidemark.llm.shared import cut, table
 
 
-def near_dedup(spark, docs, sf_dir):
-    return keep_one_of_each(docs)
+def drop_toxic(spark, docs, sf_dir):
+    """Documents below the toxicity threshold; the classifier learns from `docs` and labels."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Texts without lines that an earlier document has; documents that keep nothing go."""
+    return line_dedup.without_repeats(docs)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def drop_benchmark_copies(spark, docs, sf_dir):
+    """Documents without a benchmark item in them."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Documents that the weighted mix takes."""
+    return mixing.mixed_corpus(docs)
+
 
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_copies),
+    ("mixing", mix_sources),
+]
 
-STAGES = [("near_dedup", near_dedup)]
+#: No SQL: trained network and hashed windows; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -139,5 +139,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that no benchmark item contaminates."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
+    bad = cut(contaminated(docs, items).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")

@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all columns, without those whose document has an earlier near copy; rows repeated under one id all stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = cut(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 

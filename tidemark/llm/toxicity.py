@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import held_out
+from tidemark.llm.shared import cut, held_out
 
 POSITIVES, NEGATIVES = 1000, 2000  # labelled documents that training uses at most
 WINDOW, STRIDE = 32, 24
@@ -365,5 +365,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose score stays below the threshold."""
-    bad = rate(docs, fitted(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
+    bad = cut(rate(docs, fitted(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "toxic")
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
