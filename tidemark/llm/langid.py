@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import held_out
+from tidemark.llm.shared import cut, held_out
 
 GRAMS = (1, 2, 3, 4)
 DIM = 1 << 13
@@ -84,10 +84,12 @@ def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def sample(docs: DataFrame) -> DataFrame:
     """Rows of documents with text and language outside the held-out fold, about SAMPLE_A_LANGUAGE of each language, chosen by the id's hash."""
-    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(held_out("doc_id", 4) != 2).select("doc_id", "text", "lang")
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").where(held_out("doc_id", 4) != 2)
     share = rows.groupBy("lang").agg((F.lit(float(SAMPLE_A_LANGUAGE)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) / 1_000_000
-    return rows.join(share, "lang").where(draw < F.col("share")).select("doc_id", "text", "lang")
+    # The ids are drawn without the texts, so no text is shuffled for a language's sake.
+    ids = cut(rows.select("doc_id", "lang").join(share, "lang").where(draw < F.col("share")).select("doc_id", "lang"), "sample")
+    return rows.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "left_semi")
 
 
 def identify(docs: DataFrame) -> DataFrame:
