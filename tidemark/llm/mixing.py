@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD, cut
+from tidemark.llm.shared import WORD, cut, scratched
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # budget over all words, as a fraction
@@ -47,7 +47,8 @@ def targets(sizes: DataFrame) -> DataFrame:
         .withColumn("rest", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
         .withColumn("budget", F.sum("source_size").over(everything) * SHARE[0] / SHARE[1])
         .withColumn("level", F.expr("(budget - full) / rest"))
-        .withColumn("water", F.min(F.expr(f"if({REPEATS} * source_size > level * w, level, null)")).over(everything))
+        .withColumn("turn", F.row_number().over(fill))
+        .withColumn("water", F.min(F.expr(f"if({REPEATS} * source_size > level * w, struct(turn, level), null)")).over(everything)["level"])
     )
     capped = F.expr(f"if(water is null or {REPEATS} * source_size <= water * w, {REPEATS}D * source_size, water * w)")
     return level.select("source", "source_size", "n", "rank", capped.alias("target"))
@@ -58,6 +59,7 @@ def shuffled(doc_id) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
 
 
+@scratched
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, source: one row for each input row.
 
@@ -84,6 +86,7 @@ def mix(docs: DataFrame) -> DataFrame:
         .join(offsets, ["rank", "part"])
         .select("doc_id", "source", "size", "source_size", "target", "rank", "v", (F.col("offset") + F.col("run")).alias("cum")),
         "queued",
+        outer=True,
     )
 
     def finish(copy: int) -> Column:
@@ -119,11 +122,12 @@ def mix(docs: DataFrame) -> DataFrame:
     return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
+@scratched
 def mixed_corpus(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the mix takes, all columns, with mix_taken: the words taken, repeats counted.
 
     Rows that share id and source are taken or left together, and their words are added up."""
-    taken = mix(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.sum("taken").alias("mix_taken")).toDF("__id", "__source", "mix_taken")
+    taken = cut(mix(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.sum("taken").alias("mix_taken")).toDF("__id", "__source", "mix_taken"), "taken", outer=True)
     match = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source"))
     return docs.join(taken, match).drop("__id", "__source")
 
@@ -140,9 +144,9 @@ WITH sizes AS (
          sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS rest, sum(source_size) OVER () * 3 / 2.0::DOUBLE AS budget
   FROM weighed WINDOW before AS (ORDER BY 2 * source_size / w::DOUBLE, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), leveled AS (
-  SELECT *, (budget - full_before::DOUBLE) / rest::DOUBLE AS level FROM filled
+  SELECT *, (budget - full_before::DOUBLE) / rest::DOUBLE AS level, row_number() OVER (ORDER BY 2 * source_size / w::DOUBLE, rank) AS turn FROM filled
 ), watered AS (
-  SELECT *, min(CASE WHEN 2 * source_size > level * w THEN level END) OVER () AS water FROM leveled
+  SELECT *, (SELECT level FROM leveled WHERE 2 * source_size > level * w ORDER BY turn LIMIT 1) AS water FROM leveled
 ), aims AS (
   SELECT source, source_size, rank, CASE WHEN water IS NULL OR 2 * source_size <= water * w THEN 2.0::DOUBLE * source_size ELSE water * w END AS target FROM watered
 ), placed AS (
