@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, scratched
 
 WIDTH = 8
 NEED_WORDS = 13
@@ -137,7 +137,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return contaminated(docs, items).select("doc_id", "item_id", "matched_words", "item_words")
 
 
+@scratched
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that no benchmark item contaminates."""
-    bad = cut(contaminated(docs, items).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "contaminated")
+    bad = cut(contaminated(docs, items).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "contaminated", outer=True)
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, scratched
 
 LEAST_WORDS = 5
 EDIT_WORDS = 8
@@ -59,7 +59,7 @@ def split_lines(data: np.ndarray, offsets: np.ndarray):
 
 def _lines(column: pa.Array):
     """(row of each line, line number, word range, rolling hashes, word hashes) for bounded parts of a column."""
-    for at, part in tk.slices(column, 2 << 20):
+    for at, part in tk.slices(column, 1 << 20):
         data, offsets = tk.raw(part)
         doc, number, bounds = split_lines(data, offsets)
         words = tk.Words(data, bounds)
@@ -179,11 +179,12 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return hit.groupBy("doc_id", "th").agg(F.collect_set("line").alias("removed"))
 
 
+@scratched
 def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the repeated lines taken out of the text, and __n_lines, __n_removed.
 
     A null text stays null with no lines; an empty text has one empty line."""
-    gone = cut(repeated_lines(docs, text_col), "removed").toDF("__id", "__th", "__gone")
+    gone = cut(repeated_lines(docs, text_col), "removed", outer=True).toDF("__id", "__th", "__gone")
     joined = docs.withColumn("__h", F.xxhash64(text_col)).join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")

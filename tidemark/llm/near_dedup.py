@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import components, cut, drop
+from tidemark.llm.shared import components, cut, scratched
 
 BANDS = 42
 PERMUTATIONS_PER_BAND = 3  # six values: a pair of similarity 0.8 shares a band with probability 1 - 3e-6
@@ -59,7 +59,7 @@ def shingle_sets(data, offsets, width: int):
 
 
 def _pieces(column: pa.Array):
-    for at, part in tk.slices(column, 2 << 20):
+    for at, part in tk.slices(column, 1 << 20):
         for sub in range(0, len(part), 1 << ID_BITS):
             yield at + sub, part.slice(sub, 1 << ID_BITS)
 
@@ -192,6 +192,7 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return meet.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
+@scratched
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, per_band: int = PERMUTATIONS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each input row.
 
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document.  Other columns of `docs` are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = cut(own.mapInArrow(signer(width, bands, per_band), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
+    signed = cut(own.mapInArrow(signer(width, bands, per_band), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures", outer=True)
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
@@ -243,14 +244,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(confirmed(candidates.join(tried, ["a", "b"], "left_anti"), "links"))
     labels = cut(components(links), "labels")
 
-    moved = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "id", "last").where("component <> id or last <> id").select("set_key", "component")
+    moved = cut(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "id", "last").where("component <> id or last <> id").select("set_key", "component"), "moved", outer=True)
     result = signed.drop("bands").join(moved, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@scratched
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all columns, without those whose document has an earlier near copy; rows repeated under one id all stay."""
-    gone = cut(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    gone = cut(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "copies", outer=True)
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -30,21 +33,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here, and a lost executor costs no recomputation."""
+_SCOPES: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends here, and a lost executor costs no recomputation.
+
+    Inside scratch() the table is deleted at the scope's end, or with `outer` at that of the scope around it."""
     path = fresh_path(df.sparkSession, name)
+    depth = len(_SCOPES) - 1 - outer
+    if depth >= 0:
+        _SCOPES[depth].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        jvm = spark.sparkContext._jvm
-        parent = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables cut inside are deleted on leaving, and what their queries shuffled may go with the next garbage collection."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+def scratched(f):
+    """Run a function of a DataFrame inside scratch()."""
+
+    @functools.wraps(f)
+    def run(df, *args, **options):
+        with scratch(df.sparkSession):
+            return f(df, *args, **options)
+
+    return run
 
 
 def held_out(column, modulus: int):
@@ -52,6 +79,7 @@ def held_out(column, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+@scratched
 def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(id, component) for each end of undirected `edges` (a, b), component being the smallest id reachable.
 
@@ -70,7 +98,7 @@ def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFram
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        following = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        following = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, outer=True)
         now = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         known = following
         if now == state:

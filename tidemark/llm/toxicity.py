@@ -14,13 +14,15 @@ a toxic text, the most toxic ones of a clean text) and backpropagation.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import cut, held_out
+from tidemark.llm.shared import held_out
 
 POSITIVES, NEGATIVES = 1000, 2000  # labelled documents that training uses at most
 WINDOW, STRIDE = 32, 24
@@ -298,7 +300,7 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
                 v += 0.001 * (g[k] * g[k] - v)
                 p[k] = (p[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         if turn < ROUNDS - 1:
-            strength = np.concatenate([forward(p, *look(np.arange(i, min(i + 4096, len(doc))))) for i in range(0, len(doc), 4096)])
+            strength = np.concatenate([forward(p, *look(np.arange(i, min(i + 2048, len(doc))))) for i in range(0, len(doc), 2048)])
     return {"p": p, "tables": tables(np.arange(len(labels)))}
 
 
@@ -320,37 +322,37 @@ def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
         valid = place < words.starts[doc + 1][None, :]
         kind = np.where(valid, np.append(inverse, len(types))[np.minimum(place, len(inverse))], len(types))
         best = np.zeros(len(n))
-        for b in range(0, len(first), 4096):
-            k, v = kind[:, b : b + 4096], valid[:, b : b + 4096].astype(np.float32)
-            np.maximum.at(best, doc[b : b + 4096], forward(p, (fx[k], bx[k]), v))
+        for b in range(0, len(first), 2048):
+            k, v = kind[:, b : b + 2048], valid[:, b : b + 2048].astype(np.float32)
+            np.maximum.at(best, doc[b : b + 2048], forward(p, (fx[k], bx[k]), v))
         out[at : at + len(n)] = best
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Whole texts and labels of the bounded training sample: the first of each label by the id's hash, outside the held-out fold."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(held_out("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(4))
     present = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     ids = present.where("toxic = 1").orderBy(order).limit(POSITIVES).unionByName(present.where("toxic = 0").orderBy(order).limit(NEGATIVES))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return rows["text"].combine_chunks(), np.array(rows["toxic"].to_pylist(), dtype=np.float64)
-
-
-def fitted(docs: DataFrame, labels: DataFrame) -> dict | None:
-    texts, y = sample(docs, labels)
-    return train(texts, y) if len(y) and 0 < y.sum() < len(y) else None
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def rate(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, th, score of each row; th is xxhash64 of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def fit_task(batches):
+    """mapInArrow function over the whole sample (doc_id, text, toxic) -> the pickled model, or nothing where one label is missing."""
+    found = list(batches)
+    if not found:
+        return
+    rows = pa.Table.from_batches(found).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = np.array(rows["toxic"].to_pylist(), dtype=np.float64)
+    if 0 < y.sum() < len(y):
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(rows["text"].combine_chunks(), y))], pa.binary())})
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score_texts(shared.value, batch.column(2)))], ["doc_id", "th", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, th long, score double")
+def fitted(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The model, trained by one task on the bounded sample, so the driver only passes 5 MB on."""
+    row = sample(docs, labels).repartition(1).mapInArrow(fit_task, "model binary").first()
+    return pickle.loads(row["model"]) if row else None
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -359,11 +361,24 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null text counts as empty.  Without labelled texts of both kinds every
     score is 0.  Training is deterministic, so reruns agree.
     """
-    rated = rate(docs, fitted(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(model.value, batch.column(1)))], ["doc_id", "score"])
+
+    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
     return rated.select("doc_id", F.coalesce(held_out("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose score stays below the threshold."""
-    bad = cut(rate(docs, fitted(docs, labels)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "toxic")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+    """The rows of `docs`, all columns, whose score stays below the threshold; rows are filtered where they are, without a join."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keep = score_texts(model.value, batch.column(place).cast(pa.large_binary())) < THRESHOLD
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
