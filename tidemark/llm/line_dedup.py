@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import cut, scratched
+from tidemark.llm.shared import cut, release, scratched
 
 LEAST_WORDS = 5
 EDIT_WORDS = 8
@@ -159,6 +159,7 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     distinct = cut(
         lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("at"), F.count("*").alias("c"), F.first("w").alias("w"), *[F.first(p).alias(p) for p in halves]), "distinct-lines"
     )
+    release(docs.sparkSession)
     long_enough = distinct.where(f"w >= {EDIT_WORDS - 1}").select("at", F.explode(F.array(*halves)).alias("p"))
     met = long_enough.groupBy("p").agg(F.count("*").alias("c")).where("c > 1").select("p")
     risky = long_enough.join(met, "p", "left_semi").select("at.*").distinct()
@@ -166,6 +167,7 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     once = own.join(by_doc, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
     texts = cut(once.mapInArrow(sequences, "doc_id long, th long, line int, seq binary"), "sequences")
     emitted = cut(texts.mapInArrow(variants, "doc_id long, th long, line int, v long, role byte"), "variants").withColumn("at", F.struct(*PLACE))
+    release(docs.sparkSession)
     # The earliest line as it is and the earliest with a word deleted; only groups of two and more can matter.
     heads = emitted.groupBy("v").agg(F.count("*").alias("c"), F.min(F.when(F.col("role") == 2, F.col("at"))).alias("plain"), F.min(F.when(F.col("role") != 2, F.col("at"))).alias("less")).where("c > 1").drop("c")
     partner = F.when(F.col("role") == 1, F.col("plain")).otherwise(F.col("less"))
@@ -174,7 +176,8 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     right = texts.toDF("pd", "pt", "pl", "other")
     near = pairs.join(texts, list(PLACE)).join(right, ["pd", "pt", "pl"]).select(*PLACE, "seq", "other").mapInArrow(verify, "doc_id long, th long, line int").withColumn("near", F.lit(True))
     near_keys = near.withColumn("at", F.struct(*PLACE)).select("at", "near")
-    gone = distinct.join(near_keys, "at", "left").where("c > 1 or near").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = cut(distinct.join(near_keys, "at", "left").where("c > 1 or near").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near")), "gone")
+    release(docs.sparkSession)
     hit = lines.join(gone, ["k1", "k2"]).where(F.col("near") | (F.struct(*PLACE) != F.col("at")))
     return hit.groupBy("doc_id", "th").agg(F.collect_set("line").alias("removed"))
 

@@ -48,6 +48,12 @@ def cut(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries, which otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables cut inside are deleted on leaving, and what their queries shuffled may go with the next garbage collection."""
@@ -59,8 +65,7 @@ def scratch(spark: SparkSession):
         for path in _SCOPES.pop():
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
-        gc.collect()
-        jvm.System.gc()
+        release(spark)
 
 
 def scratched(f):
