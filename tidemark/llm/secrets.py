@@ -113,9 +113,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def spans(kind: str, rank: int, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["e"].alias("end")))
 
-    base = F.array_sort(
-        F.concat(*[spans(kind, rank, F.filter(located(text, pattern, group), lambda x, least=least: F.length(x["g"]) >= least)) for rank, (kind, pattern, group, least) in enumerate(BASE)])
-    )
+    def long_enough(least: int):
+        return lambda x: F.length(x["g"]) >= least  # a second parameter, even a default one, would be the element's place
+
+    base = F.array_sort(F.concat(*[spans(kind, rank, F.filter(located(text, pattern, group), long_enough(least))) for rank, (kind, pattern, group, least) in enumerate(BASE)]))
 
     def suspicious(x):
         allowed = F.lit(False)
