@@ -45,7 +45,7 @@ def test_decontamination_catches_new_values_and_checks_slots(spark):
     other = item.replace("5", "9").replace("120", "348").replace("Boston", "Denver")
     broken = item.replace("5 pm and", "9 pm and").replace("120", "348")  # one value becomes two
     filler = " ".join(f"filler{i}" for i in range(40))
-    docs = frame(spark, [(1, f"{filler} {item} {filler}"), (2, f"{filler}, {other.upper() if False else other} {filler}"), (3, f"{filler} {broken} {filler}"), (4, filler), (5, " ".join(item.split()[:6]))])
+    docs = frame(spark, [(1, f"{filler} {item} {filler}"), (2, f"{filler}, {other} {filler}"), (3, f"{filler} {broken} {filler}"), (4, filler), (5, " ".join(item.split()[:6]))])
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.report(docs, bench).collect()} == {1, 2}
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 4, 5}
@@ -188,6 +188,11 @@ def test_archives_round_trip_and_salvage(spark, tmp_path):
     plain = [zlib.decompress(m, 31) for m in members]
     found = list(warc.salvage(plain[0] + plain[1][:50] + plain[2]))
     assert [k for k, *_ in found] == ["record", "gap", "record"]
+    for cut in range(1, len(plain[1]) - 4):
+        found = list(warc.salvage(plain[0] + plain[1][:cut] + plain[2]))
+        assert [x["id"][-2] for k, _, _, x in found if k == "record"] == ["0", "2"] and sum(n for k, _, n, _ in found if k == "gap") == cut, cut
+    odd = warc.member(7, "http://x/WARC/1.1", b"p", hashlib.sha256(b"p").hexdigest(), None)
+    assert [k for k, *_ in warc.salvage(zlib.decompress(odd, 31))] == ["record"]
 
 
 def test_avi_round_trip_and_general_decoder(spark):

@@ -22,6 +22,7 @@ LEAST_DEDUPED = 100  # smaller payloads are always stored
 ROLL_BYTES = 32 << 20  # an archive ends once it is so large
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION_END = re.compile(rb"WARC/1\.[01]$")
 URN = "urn:tidemark:page:"
 CHUNK = 1 << 16
 
@@ -116,6 +117,13 @@ def _headers(text: bytes) -> dict[str, str]:
     return found
 
 
+def _runs_into_next(text: bytes) -> bool:
+    """Whether headers were cut and go on with those of the record behind: a line ends as a version line does, and it is no header or the fields start over."""
+    lines = text.split(b"\r\n")
+    names = [line.partition(b":")[0].strip().lower() if b":" in line else None for line in lines]
+    return any(names[i] is None or set(names[: i + 1]) & (set(names[i + 1 :]) - {None}) for i, line in enumerate(lines) if VERSION_END.search(line))
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict | str, int]:
     """The record at `at` and the offset behind it, or the reason why none is valid there."""
     version = VERSION.match(data, at)
@@ -124,6 +132,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict | str, int]:
     end = data.find(b"\r\n\r\n", version.end() - 2)
     if end < 0:
         return "headers do not end", at
+    if _runs_into_next(data[version.end() : end]):
+        return "headers cut short", at
     head = _headers(data[version.end() : end])
     if not head.get("content-length", "").isdigit() or "warc-type" not in head:
         return "headers incomplete", at
