@@ -221,3 +221,17 @@ def test_mix_meets_targets(spark, sf):
     for s, target in aims.items():
         assert abs(sum(r.taken for r in rows if r.source == s) - target) <= 2 * largest
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+def test_mixed_corpus_is_what_the_mix_takes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("lang", "v").withColumnRenamed("n_chars", "size")
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
+    found = mixing.mixed_corpus(docs)
+    assert found.columns == [*docs.columns, "mix_taken"] and {r.doc_id: r.mix_taken for r in found.collect()} == taken
+    many, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 0
+    assert {r.doc_id: r.mix_taken for r in mixing.mixed_corpus(docs).collect()} == taken
+    mixing.BROADCAST_SOURCES = many
+    rows = [(1, "a b c", "en", "p", 0, "x", "y")] * 5 + [(2, "d e", "en", "q", 0, "x", "y"), (3, "f " * 40, "en", None, 0, "x", "y"), (None, "g h", "en", "q", 0, "x", "y")]
+    repeated = spark.createDataFrame(rows, DOCS)
+    total = sum(r.taken for r in mixing.mix(repeated).collect())
+    assert total <= sum(r.mix_taken for r in mixing.mixed_corpus(repeated).collect()) < total + 5

@@ -59,14 +59,13 @@ def shuffled(doc_id) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
 
 
-@scratched
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source: one row for each input row.
+def copies_taken() -> list[str]:
+    return [f"taken_{k}" for k in range(REPEATS)]
 
-    A null text has size 0; a null source is a source of its own, the last.  Empty
-    documents are never taken.  Repeated rows queue one after another.  The last
-    document served is cut to the budget's end.
-    """
+
+@scratched
+def serve(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, source, v (the shuffled position) and, for each copy k of a row, taken_k: the words that the mix takes of it."""
     spark = docs.sparkSession
     sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size")), "sizes")
     aims = cut(targets(sizes), "targets")
@@ -99,8 +98,7 @@ def mix(docs: DataFrame) -> DataFrame:
     running = totals.withColumn("upto", F.sum("words").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
     crossing = running.where(F.col("upto") >= budget).orderBy("bin").select("bin", (F.col("upto") - F.col("words")).alias("base")).first()
     if crossing is None or budget == 0:
-        taken = F.lit(0).cast("long")
-        return queued.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"), "source")
+        return queued.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "source", "v", *[F.lit(0).cast("long").alias(c) for c in copies_taken()])
     order = Window.orderBy("finish", "rank", "v", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         binned.where(F.col("bin") == crossing["bin"])
@@ -118,18 +116,53 @@ def mix(docs: DataFrame) -> DataFrame:
         own = F.struct(finish(k).alias("finish"), "rank", "v", "doc_id", F.lit(k).alias("copy"))
         return F.when((F.col("size") == 0) | (F.col("target") == 0), 0).when(own < edge, F.col("size")).when(own == edge, F.lit(partial)).otherwise(0)
 
-    taken = sum((share(k) for k in range(1, REPEATS)), share(0)).cast("long")
-    return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    return queued.select("doc_id", "size", "source_size", "target", "source", "v", *[share(k).cast("long").alias(c) for k, c in enumerate(copies_taken())])
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source: one row for each input row.
+
+    A null text has size 0; a null source is a source of its own, the last.  Empty
+    documents are never taken.  Repeated rows queue one after another.  The last
+    document served is cut to the budget's end.
+    """
+    return serve(docs).select("doc_id", "size", "source_size", "target", sum(map(F.col, copies_taken()), F.lit(0)).cast("long").alias("taken"), "source")
+
+
+BROADCAST_SOURCES = 10_000
+
+
+def position(doc_id, size) -> Column:
+    """Place of a row in its source's queue."""
+    return F.struct(shuffled(doc_id).alias("v"), F.col(doc_id).cast("long").alias("doc_id"), F.col(size).alias("size"))
 
 
 @scratched
 def mixed_corpus(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the mix takes, all columns, with mix_taken: the words taken, repeats counted.
 
-    Rows that share id and source are taken or left together, and their words are added up."""
-    taken = cut(mix(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.sum("taken").alias("mix_taken")).toDF("__id", "__source", "mix_taken"), "taken", outer=True)
-    match = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source"))
-    return docs.join(taken, match).drop("__id", "__source")
+    What the mix takes of a source is, for each copy, a prefix of its queue.  So one
+    row a source tells it for all documents, and their texts are filtered where
+    they are read.  Rows that tie at a prefix's end share its words evenly,
+    rounded up; a single row there has just what mix() gives.
+    """
+    served = serve(docs).withColumn("at", position("doc_id", "size"))
+    copies = range(REPEATS)
+    ends = served.groupBy("source").agg(*[F.min(F.when(F.col(f"taken_{k}") < F.col("size"), F.col("at"))).alias(f"end_{k}") for k in copies])
+    ends = cut(ends.withColumnRenamed("source", "s"), "ends")
+    few = ends.count() <= BROADCAST_SOURCES
+    ends = F.broadcast(ends) if few else ends
+    tied = served.join(ends, F.col("source").eqNullSafe(F.col("s")))
+    shares = [F.ceil(F.avg(F.when(F.col("at") == F.col(f"end_{k}"), F.col(f"taken_{k}")))).cast("long").alias(f"part_{k}") for k in copies]
+    bounds = cut(tied.groupBy("s").agg(*[F.first(f"end_{k}").alias(f"end_{k}") for k in copies], *shares).select(F.struct("*").alias("__cut")), "bounds", outer=True)
+    own = docs.withColumn("__size", word_count(docs["text"])).withColumn("__at", position("doc_id", "__size"))
+    joined = own.join(F.broadcast(bounds) if few else bounds, own["source"].cast("string").eqNullSafe(F.col("__cut.s")))
+
+    def words(k: int) -> Column:
+        end = F.col(f"__cut.end_{k}")
+        return F.when(end.isNull() | (F.col("__at") < end), F.col("__size")).when(F.col("__at") == end, F.col(f"__cut.part_{k}")).otherwise(0)
+
+    return joined.withColumn("mix_taken", sum(map(words, copies), F.lit(0)).cast("long")).where("mix_taken > 0").select(*docs.columns, "mix_taken")
 
 
 ORACLE = rf"""
