@@ -163,19 +163,24 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     long_enough = distinct.where(f"w >= {EDIT_WORDS - 1}").select("at", F.explode(F.array(*halves)).alias("p"))
     met = long_enough.groupBy("p").agg(F.count("*").alias("c")).where("c > 1").select("p")
     risky = long_enough.join(met, "p", "left_semi").select("at.*").distinct()
-    by_doc = risky.groupBy("doc_id", "th").agg(F.collect_list("line").alias("wanted"))
+    by_doc = cut(risky.groupBy("doc_id", "th").agg(F.collect_list("line").alias("wanted")), "risky")
+    release(docs.sparkSession)
     once = own.join(by_doc, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
     texts = cut(once.mapInArrow(sequences, "doc_id long, th long, line int, seq binary"), "sequences")
+    release(docs.sparkSession)
     emitted = cut(texts.mapInArrow(variants, "doc_id long, th long, line int, v long, role byte"), "variants").withColumn("at", F.struct(*PLACE))
+    # Only groups of two and more can matter; of each, the earliest line as it is and the earliest with a word deleted.
+    shared = emitted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    grouped = cut(emitted.join(shared, "v", "left_semi").select("v", "role", "at"), "groups")
     release(docs.sparkSession)
-    # The earliest line as it is and the earliest with a word deleted; only groups of two and more can matter.
-    heads = emitted.groupBy("v").agg(F.count("*").alias("c"), F.min(F.when(F.col("role") == 2, F.col("at"))).alias("plain"), F.min(F.when(F.col("role") != 2, F.col("at"))).alias("less")).where("c > 1").drop("c")
+    heads = grouped.groupBy("v").agg(F.min(F.when(F.col("role") == 2, F.col("at"))).alias("plain"), F.min(F.when(F.col("role") != 2, F.col("at"))).alias("less"))
     partner = F.when(F.col("role") == 1, F.col("plain")).otherwise(F.col("less"))
-    found = emitted.join(heads, "v").withColumn("partner", partner).where("partner < at").groupBy("at").agg(F.min("partner").alias("partner"))
+    found = grouped.join(heads, "v").withColumn("partner", partner).where("partner < at").groupBy("at").agg(F.min("partner").alias("partner"))
     pairs = found.select("at.*", F.col("partner.doc_id").alias("pd"), F.col("partner.th").alias("pt"), F.col("partner.line").alias("pl"))
     right = texts.toDF("pd", "pt", "pl", "other")
-    near = pairs.join(texts, list(PLACE)).join(right, ["pd", "pt", "pl"]).select(*PLACE, "seq", "other").mapInArrow(verify, "doc_id long, th long, line int").withColumn("near", F.lit(True))
-    near_keys = near.withColumn("at", F.struct(*PLACE)).select("at", "near")
+    near = pairs.join(texts, list(PLACE)).join(right, ["pd", "pt", "pl"]).select(*PLACE, "seq", "other").mapInArrow(verify, "doc_id long, th long, line int")
+    near_keys = cut(near.withColumn("near", F.lit(True)).select(F.struct(*PLACE).alias("at"), "near"), "near")
+    release(docs.sparkSession)
     gone = cut(distinct.join(near_keys, "at", "left").where("c > 1 or near").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near")), "gone")
     release(docs.sparkSession)
     hit = lines.join(gone, ["k1", "k2"]).where(F.col("near") | (F.struct(*PLACE) != F.col("at")))
