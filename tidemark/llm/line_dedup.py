@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import cut, release, scratched
+from tidemark.llm.shared import cut, perhaps, release, scratched
 
 LEAST_WORDS = 5
 EDIT_WORDS = 8
@@ -165,7 +165,7 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     risky = long_enough.join(met, "p", "left_semi").select("at.*").distinct()
     by_doc = cut(risky.groupBy("doc_id", "th").agg(F.collect_list("line").alias("wanted")), "risky")
     release(docs.sparkSession)
-    once = own.join(by_doc, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
+    once = perhaps(own, by_doc, "doc_id", "th").join(by_doc, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
     texts = cut(once.mapInArrow(sequences, "doc_id long, th long, line int, seq binary"), "sequences")
     release(docs.sparkSession)
     emitted = cut(texts.mapInArrow(variants, "doc_id long, th long, line int, v long, role byte"), "variants").withColumn("at", F.struct(*PLACE))

@@ -79,6 +79,23 @@ def scratched(f):
     return run
 
 
+SLOT_BITS = 20  # 32 bitmaps of 4 KB, whatever the number of keys
+
+
+def perhaps(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """The rows whose key columns `names` may be among those of `keys`, and no others of note: all that match stay.
+
+    Keys set bits of a hash bitmap of fixed size, which is broadcast, so that most
+    rows without a partner go before a join shuffles them.  Past some million keys
+    the bitmap fills and lets all through.  A join must still follow."""
+    slot = F.pmod(F.xxhash64(*names), F.lit(1 << SLOT_BITS))
+    place = slot.bitwiseAND(F.lit(32767))
+    maps = keys.select(F.shiftright(slot, 15).alias("__bucket"), place.alias("__p")).groupBy("__bucket").agg(F.bitmap_construct_agg("__p").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(maps), F.shiftright(slot, 15) == F.col("__bucket")).where(hit).select(*rows.columns)
+
+
 def held_out(column, modulus: int):
     """crc32 of the id's decimal text modulo `modulus`, as the contracts define folds; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
