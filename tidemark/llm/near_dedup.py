@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import components, cut, scratched
+from tidemark.llm.shared import components, cut, perhaps, scratched
 
 BANDS = 42
 PERMUTATIONS_PER_BAND = 3  # six values: a pair of similarity 0.8 shares a band with probability 1 - 3e-6
@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = classes.select("id", "n", F.explode("bands").alias("h"))
     shared = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     buckets = cut(entries.join(shared, "h").select("h", "id", "n", "c"), "buckets")
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(own.join(wanted, "doc_id", "left_semi").mapInArrow(set_reader(width), "id long, members binary"), "sets")
+    wanted = cut(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    sets = cut(perhaps(own, wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(set_reader(width), "id long, members binary"), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
