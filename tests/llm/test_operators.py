@@ -235,3 +235,36 @@ def test_mixed_corpus_is_what_the_mix_takes(spark, sf):
     repeated = spark.createDataFrame(rows, DOCS)
     total = sum(r.taken for r in mixing.mix(repeated).collect())
     assert total <= sum(r.mix_taken for r in mixing.mixed_corpus(repeated).collect()) < total + 5
+
+
+def test_language_model_keeps_all_ngrams_of_a_large_block():
+    """More entries in one block than the former capacity of 349,525, all of one occurrence; none may read as unseen."""
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 32, 500_000).astype(np.uint64))
+    counts = np.where(np.arange(len(keys)) < 1000, 37, 1)
+    unseen = np.arange(1 << 33, (1 << 33) + 20_000, dtype=np.uint64)
+    table = pa.table({"chunk": [5, 6], "block": [0, 0], "blob": [lm.pack(keys, counts), lm.pack(unseen, np.zeros(len(unseen), np.int64))]})
+    answers = lm.answered(table)
+    seen, new = (lm.Answers(k, answers.slice(i, 1)).levels(k) for i, k in enumerate((keys, unseen)))
+    level = lm.levels_of(counts)
+    assert (seen >= level).all() and np.mean(seen > level) < 0.1 and np.mean(new > 0) < 0.1
+
+
+def test_language_model_scores_match_exact_levels(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", f"x{i}"]) for _ in range(rng.randrange(0, 60)))) for i in range(300)]
+    hashed = lambda t: next(lm.tokens(pa.array([t.encode()])))[1:]
+    counts = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            hashes, starts = hashed(t)
+            counts.update(np.concatenate([lm.bigram_keys(hashes, starts), lm.unigram_keys(hashes)]).tolist())
+
+    class Exact:
+        def levels(self, keys):
+            return np.array([lm.levels_of(np.array([counts[k]]))[0] if counts[k] else 0 for k in keys.tolist()])
+
+    got = {r.doc_id: r for r in lm.score(frame(spark, rows).repartition(3)).collect()}
+    total, kinds = got[0].train_tokens, len({w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()}) + 1
+    exact = [lm.model_log10(Exact(), *hashed(t), total, kinds).sum() for _, t in rows]
+    assert np.mean([abs(got[i].score - e) < 1e-6 for (i, _), e in zip(rows, exact, strict=True)]) > 0.3
+    assert abs(sum(r.score for r in got.values()) - sum(exact)) < 0.02 * abs(sum(exact))

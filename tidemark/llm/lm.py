@@ -6,10 +6,11 @@ keys (n-gram, 1) ... (n-gram, q); a count is read back by probing level after
 level until one is absent.  Probabilities interpolate the bigram's relative
 frequency with an add-0.1 unigram.
 
-Size: the filter is BLOCKS blocks of fixed size, 64 MB in all, whatever the
-corpus, so broadcasting it is bounded.  A block whose entries would exceed its
-capacity starts at a higher level; rarer n-grams of it are left to the smoothing.
-Everything else (the exact counts, the base score) covers all training tokens.
+Size: the filter takes BITS_AN_ENTRY bits for each entry, whatever their number,
+so it grows with the corpus.  It is dealt by n-gram hash into blocks, whose number
+follows the tokens.  No block is broadcast or collected: texts are dealt into
+chunks, the n-grams of each chunk meet the blocks in one shuffle, and the levels
+go back to the chunk in another.
 
 Exact counts: frequent words, HEAD at most, are broadcast; the others go through
 a shuffled join by word.
@@ -25,18 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import cut, held_out
+from tidemark.llm.shared import cut, held_out, scratched
 
 ADD = 0.1
 LAMBDA = 0.6
-BLOCKS = 256
-BLOCK_BITS = 1 << 21
+BLOCKS = 256  # at least
+BLOCK_TOKENS = 1 << 22  # training tokens for each block, about; a block must fit a worker
+CHUNK_BYTES = 8 << 20  # of texts, about
 PROBES = 3
 BITS_AN_ENTRY = 6
 LEVELS = 40
 HEAD = 1 << 17
 KEY_BITS = 40
-FLUSH = 3_000_000  # n-grams held by a task before it passes their counts on
+FLUSH = 3_000_000  # words held by a task before it passes their counts on
 END = tk.mix(np.array([0x656E64], dtype=np.uint64))[0]
 U = np.uint64
 
@@ -114,102 +116,127 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def gram_counter(shards: int):
-    """mapInArrow function (text) -> (shard, blob): packed counts of unigrams and bigrams, split by the keys' top bits."""
+def chunked(batches):
+    """mapInArrow function (rid, doc_id, trains, text) -> the same with a chunk number, by which at most about CHUNK_BYTES of texts belong together."""
+    from pyspark import TaskContext
 
-    def run(batches):
-        held, size = [], 0
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for at, part in tk.slices(batch.column(3), CHUNK_BYTES):
+            if size and size + part.nbytes > CHUNK_BYTES:
+                chunk, size = chunk + 1, 0
+            size += part.nbytes
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), *batch.slice(at, len(part)).columns], ["chunk", "rid", "doc_id", "trains", "text"])
 
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            shard = (keys * U(shards)) >> U(KEY_BITS)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            some = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
-            blobs = [pack(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
-        for batch in batches:
-            for _, hashes, starts in tokens(batch.column(0)):
-                held += [bigram_keys(hashes, starts), unigram_keys(hashes)]
-                size += 2 * len(hashes)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+def gram_counter(blocks: int):
+    """mapInArrow function (chunk, trains, text) -> (chunk, block, blob): n-grams of each chunk with their counts in training texts, split by the keys' top bits.
 
-    return run
+    N-grams of held-out texts alone have count 0.  A chunk may come in several pieces."""
 
+    def counted(held):
+        return np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, np.int64))
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(np.log2(counts)).astype(np.int64) + 1, LEVELS)
+    def flush(chunk, held):
+        asked = counted(held[False])[0]
+        keys, counts = counted(held[True])
+        keys, counts = merged(np.concatenate([keys, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)]))
+        cuts = np.searchsorted(block_of(keys, blocks), np.arange(blocks + 1))
+        some = [i for i in range(blocks) if cuts[i] < cuts[i + 1]]
+        blobs = [pack(keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "block", "blob"])
 
+    def run(batches):
+        held, now, size = {True: [], False: []}, None, 0
+        for batch in batches:
+            chunks, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(chunks[1:] != chunks[:-1]) + 1
+            for start, stop in zip([0, *edges], [*edges, len(chunks)], strict=True):
+                if start == stop:
+                    continue
+                if now is not None and (chunks[start] != now or size >= FLUSH):
+                    yield flush(now, held)
+                    held, size = {True: [], False: []}, 0
+                now = int(chunks[start])
+                for which, chosen in ((True, trains[start:stop]), (False, ~trains[start:stop])):
+                    for _, hashes, starts in tokens(batch.column(2).slice(start, stop - start).filter(pa.array(chosen))):
+                        held[which] += [bigram_keys(hashes, starts), unigram_keys(hashes)]
+                        size += 2 * len(hashes)
+        if now is not None:
+            yield flush(now, held)
 
-def shard_levels(table: pa.Table) -> pa.Table:
-    """One shard's blobs merged: (block, hist, blob), hist[j] being its entries at level j + 1, blob its keys and levels."""
-    parts = [unpack(b.as_py()) for b in table["blob"]]
-    keys, counts = merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    level = levels_of(counts)
-    reached = np.bincount(level, minlength=LEVELS + 2)[::-1].cumsum()[::-1][1 : LEVELS + 1]
-    shards_a_block = table["per"][0].as_py()
-    block = table["shard"][0].as_py() // shards_a_block
-    return pa.table({"block": pa.array([block], pa.int32()), "hist": pa.array([reached.tolist()], pa.list_(pa.int64())), "blob": pa.array([pack(keys, level)], pa.binary())})
+    return run
 
 
-def positions(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """PROBES bit places within the block for each (n-gram, level)."""
-    h = tk.mix(keys * U(0x9E3779B97F4A7C15) + level.astype(U) * U(0xD6E8FEB86659FD93))
-    step = (h >> U(32)) | U(1)
-    return (h[None, :] + np.arange(PROBES, dtype=U)[:, None] * step[None, :]) & U(BLOCK_BITS - 1)
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return keys * U(blocks) >> U(KEY_BITS)
 
 
-def block_bits(batches):
-    """mapInArrow function (block, lowest level, blob) -> (block, low, bits): one shard's part of a block, to be or-ed."""
-    for batch in batches:
-        for block, low, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
-            keys, level = unpack(blob.as_py())
-            bits = np.zeros(BLOCK_BITS, dtype=bool)
-            lowest = low.as_py()
-            for j in range(lowest, int(level.max(initial=0)) + 1):
-                some = keys[level >= j]
-                bits[positions(some, np.full(len(some), j)).ravel()] = True
-            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([lowest], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "low", "bits"])
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(counts)).astype(np.int64) + 1, LEVELS)
 
 
-def union_bits(table: pa.Table) -> pa.Table:
-    bits = np.zeros(BLOCK_BITS // 8, dtype=np.uint8)
-    for b in table["bits"]:
-        bits |= np.frombuffer(b.as_py(), dtype=np.uint8)
-    return pa.table({"block": table["block"].slice(0, 1), "low": table["low"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+def positions(keys: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
+    """PROBES bit places of a filter of `size` bits for each (n-gram, level)."""
+    h = tk.mix(keys * U(0x9E3779B97F4A7C15) + level.astype(U) * U(0xD6E8FEB86659FD93))
+    step = (h >> U(32)) | U(1)
+    return (h[None, :] + np.arange(PROBES, dtype=U)[:, None] * step[None, :]) % U(size)
 
 
 class Filter:
-    """The broadcast filter: bits of all blocks, and the level at which each block starts."""
+    """One block of the filter, of BITS_AN_ENTRY bits for each of its entries, whatever their number."""
 
-    def __init__(self, bits: np.ndarray, low: np.ndarray):
-        self.bits, self.low = bits, low
+    def __init__(self, keys: np.ndarray, level: np.ndarray):
+        self.size = max(64, BITS_AN_ENTRY * int(level.sum()))
+        self.bits = np.zeros(self.size, dtype=bool)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            some = keys[level >= j]
+            self.bits[positions(some, np.full(len(some), j), self.size).ravel()] = True
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, 0 where it is absent, by probing level after level."""
         out = np.zeros(len(keys), dtype=np.int64)
-        block = (keys * U(BLOCKS) >> U(KEY_BITS)).astype(np.int64)
-        at, level, found = np.arange(len(keys)), self.low[block].astype(np.int64), keys
-        while len(at):
-            place = positions(found, level).astype(np.int64) + (block * BLOCK_BITS)[None, :]
-            hit = np.ones(len(at), dtype=bool)
-            for p in place:
-                hit &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            out[at[hit]] = level[hit]
-            hit &= level < LEVELS
-            at, level, found, block = at[hit], level[hit] + 1, found[hit], block[hit]
+        at, level, found = np.arange(len(keys)), 1, keys
+        while len(at) and level <= LEVELS:
+            hit = self.bits[positions(found, np.full(len(found), level), self.size)].all(axis=0)
+            at, found = at[hit], found[hit]
+            out[at] = level
+            level += 1
         return out
 
 
+def answered(table: pa.Table) -> pa.Table:
+    """All counts of one block (chunk, block, blob) -> (chunk, block, answer): the block's filter is built of them, and each chunk gets the levels of its n-grams in the order of their keys."""
+    parts = [unpack(b.as_py()) for b in table["blob"]]
+    keys, counts = merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    level = Filter(keys[counts > 0], levels_of(counts[counts > 0])).levels(keys).astype(np.uint8)
+    pieces = {}
+    for chunk, (part, _) in zip(table["chunk"].to_pylist(), parts, strict=True):
+        pieces.setdefault(chunk, []).append(part)
+    joined = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in pieces.values()]
+    answers = [zlib.compress(level[np.searchsorted(keys, x)].tobytes(), 1) for x in joined]
+    block = table["block"][0].as_py()
+    return pa.table({"chunk": pa.array(list(pieces), pa.int64()), "block": pa.array([block] * len(pieces), pa.int32()), "answer": pa.array(answers, pa.binary())})
+
+
+class Answers:
+    """The levels that the blocks gave for the n-grams of a chunk."""
+
+    def __init__(self, keys: np.ndarray, answers: pa.Table):
+        self.keys = np.unique(keys)
+        self.level = np.frombuffer(b"".join(zlib.decompress(b.as_py()) for b in answers.sort_by("block")["answer"]), dtype=np.uint8).astype(np.int64)
+        if len(self.keys) != len(self.level):
+            raise RuntimeError("answers do not cover the n-grams of the chunk")
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.keys, keys)]
+
+
 COUNT_OF_LEVEL = np.concatenate([[0.0], np.maximum(1.0, 1.44 * 2.0 ** np.arange(LEVELS))])
 COUNT_OF_LEVEL[1] = 1.0
 
 
-def model_log10(filt: Filter, hashes: np.ndarray, starts: np.ndarray, total: int, kinds: int) -> np.ndarray:
+def model_log10(filt: Filter | Answers, hashes: np.ndarray, starts: np.ndarray, total: int, kinds: int) -> np.ndarray:
     """log10 probability of each token given the one before."""
     uni, where = np.unique(hashes, return_inverse=True)
     uni_count = COUNT_OF_LEVEL[filt.levels(unigram_keys(uni))]
@@ -225,29 +252,39 @@ def model_log10(filt: Filter, hashes: np.ndarray, starts: np.ndarray, total: int
     return np.log10(np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * floor, floor))
 
 
-def build_filter(train: DataFrame, total: int) -> Filter:
-    """Count the n-grams of `train` in full and enter them; only the finished blocks, of fixed size, reach the driver."""
-    per = max(1, total // 4_000_000_000)  # shards a block, so that a shard's distinct n-grams fit a worker
-    shards = BLOCKS * per
-    blobs = train.mapInArrow(gram_counter(shards), "shard int, blob binary").withColumn("per", F.lit(per))
-    levels = cut(blobs.groupBy("shard").applyInArrow(shard_levels, "block int, hist array<long>, blob binary"), "levels")
-    sums = levels.groupBy("block").agg(*[F.sum(F.element_at("hist", j + 1)).alias(f"h{j + 1}") for j in range(LEVELS)])
-    # Entries from level j on: the least j that fits the block's capacity.
-    capacity, rest, low = BLOCK_BITS // BITS_AN_ENTRY, None, F.lit(LEVELS)
-    for j in range(LEVELS, 0, -1):
-        rest = F.col(f"h{j}") if rest is None else rest + F.col(f"h{j}")
-        low = F.when(rest <= capacity, F.lit(j)).otherwise(low)
-    lows = sums.select("block", low.cast("int").alias("low"))
-    parts = levels.join(lows, "block").select("block", "low", "blob").mapInArrow(block_bits, "block int, low int, bits binary")
-    bits, lowest = np.zeros(BLOCKS * BLOCK_BITS // 8, dtype=np.uint8), np.ones(BLOCKS, dtype=np.int32)
-    finished = parts if per == 1 else parts.groupBy("block").applyInArrow(union_bits, "block int, low int, bits binary")
-    for row in finished.toLocalIterator():
-        bits[row["block"] * (BLOCK_BITS // 8) :][: BLOCK_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-        lowest[row["block"]] = row["low"]
-    return Filter(bits, lowest)
+# Scoring
 
 
-# Scoring
+@scratched
+def with_model(own: DataFrame, words: np.ndarray, known: np.ndarray, total: int, kinds: int) -> DataFrame:
+    """rid, doc_id, n_tokens, head_known, head_base, score, tail of each row of `own`: all but the counts of the words in tail."""
+    own = cut(own.mapInArrow(chunked, "chunk long, rid long, doc_id long, trains boolean, text binary"), "chunks")
+    blocks = max(BLOCKS, -(-total // BLOCK_TOKENS))
+    grams = own.select("chunk", "trains", "text").mapInArrow(gram_counter(blocks), "chunk long, block int, blob binary")
+    answers = grams.groupBy("block").applyInArrow(answered, "chunk long, block int, answer binary")
+    shared = own.sparkSession.sparkContext.broadcast((words, known))
+    norm = total + ADD * (kinds + 1)
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        words, known = shared.value
+        parts, out = list(tokens(texts["text"])), []
+        filt = Answers(np.concatenate([f for _, hashes, starts in parts for f in (bigram_keys(hashes, starts), unigram_keys(hashes))]), answers)
+        for at, hashes, starts in parts:
+            n = len(starts) - 1
+            slot = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+            is_head = words[slot] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
+            c = np.where(is_head, known[slot], 0) if len(words) else np.zeros(len(hashes))
+            base = np.add.reduceat(np.where(is_head, np.log10((c + ADD) / norm), 0.0), starts[:-1])
+            model = np.add.reduceat(model_log10(filt, hashes, starts, total, kinds), starts[:-1])
+            rest = np.concatenate([[0], np.cumsum(~is_head)])[starts]
+            tail = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(hashes[~is_head].view(np.int64)))
+            ids = texts.slice(at, n).combine_chunks()
+            columns = [ids["rid"], ids["doc_id"], pa.array(np.diff(starts)), pa.array(np.add.reduceat(is_head.astype(np.int64), starts[:-1])), pa.array(base), pa.array(model), tail]
+            out.append(pa.table(columns, ["rid", "doc_id", "n_tokens", "head_known", "head_base", "score", "tail"]))
+        return pa.concat_tables(out)
+
+    texts = own.select("chunk", "rid", "doc_id", "text").groupBy("chunk")
+    return cut(texts.cogroup(answers.groupBy("chunk")).applyInArrow(run, "rid long, doc_id long, n_tokens long, head_known long, head_base double, score double, tail array<long>"), "scored", outer=True)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -258,8 +295,8 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     fold = F.coalesce(held_out("doc_id", 10), F.lit(1)) == 0
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    train = own.where(~fold).select("text")
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (~fold).alias("trains"), F.col("text").cast("binary").alias("text"))
+    train = own.where("trains").select("text")
     counts = cut(train.mapInArrow(word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # The head: counts from a power-of-two threshold on, HEAD words at most.
@@ -272,30 +309,8 @@ def score(docs: DataFrame) -> DataFrame:
     head = head_rows.toArrow()
     order = np.argsort(head["w"].to_numpy().view(U))
     words, known = head["w"].to_numpy().view(U)[order], head["c"].to_numpy()[order]
-    filt = build_filter(train, total)
-    shared = spark.sparkContext.broadcast((words, known, filt.bits, filt.low))
+    scored = with_model(own, words, known, total, kinds)
     norm = total + ADD * (kinds + 1)
-
-    def run(batches):
-        words, known, bits, low = shared.value
-        filt = Filter(bits, low)
-        for batch in batches:
-            for at, hashes, starts in tokens(batch.column(2)):
-                n = len(starts) - 1
-                slot = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-                is_head = words[slot] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
-                c = np.where(is_head, known[slot], 0) if len(words) else np.zeros(len(hashes))
-                base = np.add.reduceat(np.where(is_head, np.log10((c + ADD) / norm), 0.0), starts[:-1])
-                model = np.add.reduceat(model_log10(filt, hashes, starts, total, kinds), starts[:-1])
-                rest = np.concatenate([[0], np.cumsum(~is_head)])[starts]
-                tail = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(hashes[~is_head].view(np.int64)))
-                ids = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.column(0), ids.column(1), pa.array(np.diff(starts)), pa.array(np.add.reduceat(is_head.astype(np.int64), starts[:-1])), pa.array(base), pa.array(model), tail],
-                    ["rid", "doc_id", "n_tokens", "head_known", "head_base", "score", "tail"],
-                )
-
-    scored = cut(own.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_tokens long, head_known long, head_base double, score double, tail array<long>"), "scored")
     absent = float(np.log10(ADD / norm))
     rare = counts.where(F.floor(F.log2("c") * 4) < least)
     # Most tail words of a document are absent or seen a few times; each (document, word) meets its count by a shuffled join.
