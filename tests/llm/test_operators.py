@@ -268,3 +268,12 @@ def test_language_model_scores_match_exact_levels(spark):
     exact = [lm.model_log10(Exact(), *hashed(t), total, kinds).sum() for _, t in rows]
     assert np.mean([abs(got[i].score - e) < 1e-6 for (i, _), e in zip(rows, exact, strict=True)]) > 0.3
     assert abs(sum(r.score for r in got.values()) - sum(exact)) < 0.02 * abs(sum(exact))
+
+
+def test_decontamination_finds_items_of_placeholders_verbatim(spark):
+    items = {1: "What is 12 + 34 * 56 - 78 / 90", 2: "1 2 3 5 8 13 21 34 55 89 144 233", 3: "the Kings were Henry Edward Richard George William Charles James Stephen"}
+    other = {1: "What is 13 + 35 * 57 - 79 / 91", 2: "2 3 4 6 9 14 22 35 56 90 145 234", 3: "the Kings were Louis Philip Robert Hugh Odo Carloman Lothair Eudes"}
+    filler = " ".join(f"filler{i}" for i in range(40))
+    docs = frame(spark, [(i, f"{filler} so {t} {filler}") for i, t in items.items()] + [(i + 10, f"{filler} so {t} {filler}") for i, t in other.items()])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.report(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3)}

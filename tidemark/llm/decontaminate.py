@@ -2,7 +2,9 @@
 
 Numbers, units and names become typed placeholders and punctuation goes, so a
 question keeps its template when it is asked again with other values.  Windows of
-template words are hashed and joined with those of the benchmark.  Matches on one
+template words are hashed and joined with those of the benchmark.  Windows mostly of
+placeholders are no evidence as templates; case-folded literal words are joined for them.
+Matches on one
 diagonal (document position minus item position) add up to covered words; a
 document is contaminated where they reach NEED_WORDS or half of the item.  Where
 covered words are placeholders, the values must correspond consistently: one
@@ -18,7 +20,7 @@ from tidemark.llm.shared import cut, scratched
 
 WIDTH = 8
 NEED_WORDS = 13
-LEAST_LITERAL = 0.5  # of a window's words; windows of placeholders are no evidence
+LEAST_LITERAL = 0.5  # of a template window's words; with fewer it is matched by its literal words only
 BROADCAST_ROWS = 1_000_000  # benchmark windows of 16 bytes; beyond, the join shuffles
 
 #: Placeholders are private-use characters, which no letter class contains.
@@ -45,8 +47,8 @@ def templated(text: Column) -> Column:
 
 
 def literal(text: Column) -> Column:
-    """The words themselves, without punctuation."""
-    t = F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")
+    """The words themselves, case-folded, without punctuation."""
+    t = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", "")
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
@@ -63,13 +65,20 @@ def windows(words: Column, width: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(w, item_id, q, item_words, width): windows of each item; items shorter than WIDTH are one window of their own width."""
-    held = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("t")).where("item_id is not null").withColumn("words", templated(F.coalesce("t", F.lit(""))))
+    """(w, item_id, q, item_words, width, verbatim): windows of each item; items shorter than WIDTH are one window of their own width.
+
+    verbatim: the window is of literal words, which a match repeats; else of template words."""
+    raw = F.coalesce("t", F.lit(""))
+    held = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("t")).where("item_id is not null").withColumn("words", templated(raw)).withColumn("plain", literal(raw))
     held = held.withColumn("item_words", F.size("words")).withColumn("width", F.least("item_words", F.lit(WIDTH))).where("item_words > 0")
-    placed = held.select("item_id", "item_words", "width", "words", F.posexplode(F.expr("sequence(1, item_words - width + 1)")).alias("q", "start"))
-    part = placed.withColumn("part", F.expr("slice(words, start, width)"))
+    placed = held.select("item_id", "item_words", "width", "words", "plain", F.posexplode(F.expr("sequence(1, item_words - width + 1)")).alias("q", "start"))
+    part = placed.withColumn("part", F.expr("slice(words, start, width)")).withColumn("same", F.expr("slice(plain, start, width)"))
     literals = F.size(F.filter("part", lambda w: ~w.isin(NUMBER, UNIT, NAME)))
-    return part.where(literals >= F.col("width") * LEAST_LITERAL).select(F.xxhash64(F.transform("part", lambda w: F.xxhash64(w))).alias("w"), "item_id", "q", "item_words", "width").distinct()
+    telling = literals >= F.col("width") * LEAST_LITERAL
+    rest = ["item_id", "q", "item_words", "width"]
+    hashed = lambda c: F.xxhash64(F.transform(c, lambda w: F.xxhash64(w))).alias("w")
+    template = part.where(telling & (F.col("part") != F.col("same"))).select(hashed("part"), *rest, F.lit(False).alias("verbatim"))
+    return template.unionByName(part.where(~telling | (F.col("part") == F.col("same"))).select(hashed("same"), *rest, F.lit(True).alias("verbatim"))).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -83,21 +92,28 @@ def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", it
     widths = [r[0] for r in bench.select("width").distinct().collect()]  # WIDTH values at most
     small = bench.count() <= BROADCAST_ROWS
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("t")).where("t is not null")
-    worded = own.select("doc_id", "th", templated(F.col("t")).alias("words"))
+    worded = own.select("doc_id", "th", templated(F.col("t")).alias("words"), literal(F.col("t")).alias("plain"))
     hits = None
     for width in sorted(widths) or [WIDTH]:
         right = bench.where(F.col("width") == width)
-        places = worded.select("doc_id", "th", F.posexplode(windows(F.col("words"), width)).alias("p", "w"))
-        found = places.join(F.broadcast(right) if small else right, "w").select("doc_id", "th", "item_id", "item_words", "width", (F.col("p") - F.col("q")).alias("diagonal"), "q")
+        # Template windows, then literal ones; both have the same number of words.
+        both = F.concat(windows(F.col("words"), width), windows(F.col("plain"), width))
+        places = worded.select("doc_id", "th", (F.size("words") - width + 1).alias("n"), F.posexplode(both).alias("at", "w")).withColumn("p", F.expr("if(at < n, at, at - n)"))
+        found = places.join(F.broadcast(right) if small else right, "w").select("doc_id", "th", "item_id", "item_words", "width", (F.col("p") - F.col("q")).alias("diagonal"), "q", "verbatim")
         hits = found if hits is None else hits.unionByName(found)
-    runs = hits.groupBy("doc_id", "th", "item_id", "item_words", "width", "diagonal").agg(F.array_sort(F.collect_set("q")).alias("qs"))
-    # Words covered by the windows at qs: each adds the distance to the next, its width at most.
-    gaps = F.transform(F.slice("qs", 2, F.size("qs")), lambda q, i: F.least(q - F.element_at("qs", i + 1), F.col("width")))
-    covered = F.aggregate(gaps, F.col("width"), lambda a, x: a + x)
+    runs = hits.groupBy("doc_id", "th", "item_id", "item_words", "width", "diagonal").agg(
+        F.array_sort(F.collect_set("q")).alias("qs"), F.array_sort(F.collect_set(F.when(F.col("verbatim"), F.col("q")))).alias("literal_qs")
+    )
+
+    def covered(qs: str) -> Column:
+        """Words covered by the windows at qs: each adds the distance to the next, its width at most."""
+        gaps = F.transform(F.slice(qs, 2, F.greatest(F.size(qs), F.lit(1))), lambda q, i: F.least(q - F.element_at(qs, i + 1), F.col("width")))
+        return F.when(F.size(qs) > 0, F.aggregate(gaps, F.col("width"), lambda a, x: a + x)).otherwise(0)
+
     need = F.least(F.lit(NEED_WORDS), F.ceil(F.col("item_words") / 2))
-    strong = cut(runs.withColumn("matched_words", covered).where(F.col("matched_words") >= need), "runs")
+    strong = cut(runs.withColumn("matched_words", covered("qs")).where(F.col("matched_words") >= need).withColumn("certain", covered("literal_qs") >= need), "runs")
     bench.unpersist()
-    checked = consistent(strong, own, items, item_id, item_text)
+    checked = strong.where("certain").unionByName(consistent(strong.where("not certain"), own, items, item_id, item_text))
     return checked.groupBy("doc_id", "th", "item_id").agg(F.max("matched_words").cast("long").alias("matched_words"), F.max("item_words").cast("long").alias("item_words"))
 
 
