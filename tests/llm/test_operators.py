@@ -277,3 +277,11 @@ def test_decontamination_finds_items_of_placeholders_verbatim(spark):
     docs = frame(spark, [(i, f"{filler} so {t} {filler}") for i, t in items.items()] + [(i + 10, f"{filler} so {t} {filler}") for i, t in other.items()])
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.report(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_decontamination_finds_copies_in_other_case_and_surrounding(spark):
+    items = {1: "in what year did the first railway open here", 2: "the quick red fox jumps over one lazy dog while seven small birds watch from an old oak", 3: "Which river flows through this old town"}
+    filler = " ".join(f"filler{i}" for i in range(40))
+    rows = [(1, f"{filler} he asked, {items[1]} {filler}"), (2, f"{filler} {items[2].upper()} {filler}"), (3, f"{filler} {items[2].title()} {filler}"), (4, f"{filler} he asked: then\n{items[3]} {filler}"), (5, f"{filler} and {items[3].lower()} {filler}")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.report(frame(spark, rows), bench).collect()} == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 3)}

@@ -2,9 +2,9 @@
 
 Numbers, units and names become typed placeholders and punctuation goes, so a
 question keeps its template when it is asked again with other values.  Windows of
-template words are hashed and joined with those of the benchmark.  Windows mostly of
-placeholders are no evidence as templates; case-folded literal words are joined for them.
-Matches on one
+template words are hashed and joined with those of the benchmark, and so are windows
+of case-folded literal words, as templates depend on case and surrounding.  Windows
+mostly of placeholders are no evidence as templates.  Matches on one
 diagonal (document position minus item position) add up to covered words; a
 document is contaminated where they reach NEED_WORDS or half of the item.  Where
 covered words are placeholders, the values must correspond consistently: one
@@ -78,7 +78,7 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
     rest = ["item_id", "q", "item_words", "width"]
     hashed = lambda c: F.xxhash64(F.transform(c, lambda w: F.xxhash64(w))).alias("w")
     template = part.where(telling & (F.col("part") != F.col("same"))).select(hashed("part"), *rest, F.lit(False).alias("verbatim"))
-    return template.unionByName(part.where(~telling | (F.col("part") == F.col("same"))).select(hashed("same"), *rest, F.lit(True).alias("verbatim"))).distinct()
+    return template.unionByName(part.select(hashed("same"), *rest, F.lit(True).alias("verbatim"))).distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
