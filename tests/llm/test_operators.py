@@ -285,3 +285,22 @@ def test_decontamination_finds_copies_in_other_case_and_surrounding(spark):
     rows = [(1, f"{filler} he asked, {items[1]} {filler}"), (2, f"{filler} {items[2].upper()} {filler}"), (3, f"{filler} {items[2].title()} {filler}"), (4, f"{filler} he asked: then\n{items[3]} {filler}"), (5, f"{filler} and {items[3].lower()} {filler}")]
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.report(frame(spark, rows), bench).collect()} == {(1, 1), (2, 2), (3, 2), (4, 3), (5, 3)}
+
+
+def test_plain_archives_with_compressed_payloads_or_a_damaged_start_are_salvaged():
+    def plain(i, payload):
+        return zlib.decompress(warc.member(i, "u", payload, hashlib.sha256(payload).hexdigest(), None), 31)
+
+    ids = lambda data: [x["id"].removesuffix(">").rpartition(":")[2] for k, _, _, x in warc.salvage(data) if k == "record"]
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    packed = packer.compress(b"page " * 500) + packer.flush()
+    parts = [plain(0, packed), plain(1, b"text " * 50), plain(2, warc.MAGIC * 3), plain(3, packed)]
+    assert ids(b"".join(parts)) == ["0", "1", "2", "3"] and all(k == "record" for k, *_ in warc.salvage(b"".join(parts)))
+    broken = bytearray(parts[3])
+    broken[20] ^= 0xFF
+    broken[-6] ^= 0xFF
+    mixed = parts[0] + bytes(broken) + parts[1]
+    assert ids(mixed) == ["0", "1"] and [(n, at) for k, at, n, _ in warc.salvage(mixed) if k == "gap"] == [(len(broken), len(parts[0]))]
+    start = bytes(random.Random(6).randrange(256) for _ in range(warc.CHUNK + 1000))
+    assert ids(start + parts[1] + parts[0]) == ["1", "0"]
+    assert ids(start + parts[1] + warc.member(5, "u", b"x", hashlib.sha256(b"x").hexdigest(), None) + parts[2]) == ["1", "5", "2"]

@@ -192,25 +192,45 @@ def records_in(data: bytes, base: int, whole: bool):
 
 
 def salvage(data: bytes):
-    """(kind, offset, length, record or reason) for all bytes of an archive: kind is "record" or "gap"."""
-    if data[:3] != MAGIC and VERSION.search(data[:CHUNK]) and not data.find(MAGIC, 0, CHUNK) >= 0:
-        yield from records_in(data, 0, False)
-        return
-    at, lost = 0, None
+    """(kind, offset, length, record or reason) for all bytes of an archive: kind is "record" or "gap".
+
+    Members and plain records are both tried wherever they may start, so an archive may be compressed, plain or mixed."""
+    at, lost, reason = 0, None, ""
+    magic = version = -1  # the next places of each behind `at`, once looked for
     while at < len(data):
-        content, to = inflate(data, at) if data[at : at + 3] == MAGIC else (None, at)
-        if content is not None:
+        to, found = at, []
+        if data.startswith(MAGIC, at):
+            content, to = inflate(data, at)
+            why = "member damaged"
+            if content is not None:
+                found = list(records_in(content, at, True))
+                if lost is not None and not any(kind == "record" for kind, *_ in found):
+                    found = []  # compressed data within what is lost
+        else:
+            record, to = parse_record(data, at)
+            if isinstance(record, dict):
+                found = [("record", at, to - at, record)]
+            else:
+                why = record
+        if found:
             if lost is not None:
-                yield "gap", lost, at - lost, "member damaged"
+                yield "gap", lost, at - lost, reason
                 lost = None
-            yield from records_in(content, at, True)
-            at = to
-        else:
-            lost = at if lost is None else lost
-            ahead = data.find(MAGIC, at + 1)
-            at = ahead if ahead >= 0 else len(data)
+            yield from found
+        elif to == at or lost is not None:
+            if lost is None:
+                lost, reason = at, why
+            start = max(at + 1, to)
+            if magic < start:
+                magic = data.find(MAGIC, start)
+                magic = magic if magic >= 0 else len(data)
+            if version < start:
+                ahead = VERSION.search(data, start)
+                version = ahead.start() if ahead else len(data)
+            to = min(magic, version)
+        at = to
     if lost is not None:
-        yield "gap", lost, len(data) - lost, "member damaged"
+        yield "gap", lost, len(data) - lost, reason
 
 
 READ_SCHEMA = "path string, kind string, offset long, length long, reason string, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long"
