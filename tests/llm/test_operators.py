@@ -304,3 +304,15 @@ def test_plain_archives_with_compressed_payloads_or_a_damaged_start_are_salvaged
     start = bytes(random.Random(6).randrange(256) for _ in range(warc.CHUNK + 1000))
     assert ids(start + parts[1] + parts[0]) == ["1", "0"]
     assert ids(start + parts[1] + warc.member(5, "u", b"x", hashlib.sha256(b"x").hexdigest(), None) + parts[2]) == ["1", "5", "2"]
+
+
+def test_decontamination_catches_values_of_another_length(spark):
+    items = {
+        1: "a slow train leaves early toward Boston and it then passes about 120 km of open land before it stops again",
+        2: "some old friends meet near town today. Alice buys seven red apples for lunch there",
+    }
+    other = {1: items[1].replace("Boston", "New York City").replace("120 km", "95km"), 2: items[2].replace("Alice", "Mary Ann")}
+    filler = " ".join(f"filler{i}" for i in range(40))
+    docs = frame(spark, [(i, f"{filler} {t} {filler}") for i, t in other.items()] + [(9, filler)])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.report(docs, bench).collect()} == {(1, 1), (2, 2)}

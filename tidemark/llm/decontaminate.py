@@ -1,26 +1,32 @@
 """Benchmark decontamination by template canonicalisation, with column expressions only.
 
 Numbers, units and names become typed placeholders and punctuation goes, so a
-question keeps its template when it is asked again with other values.  Windows of
-template words are hashed and joined with those of the benchmark, and so are windows
-of case-folded literal words, as templates depend on case and surrounding.  Windows
-mostly of placeholders are no evidence as templates.  Matches on one
-diagonal (document position minus item position) add up to covered words; a
-document is contaminated where they reach NEED_WORDS or half of the item.  Where
-covered words are placeholders, the values must correspond consistently: one
-value of the item to one of the document, and the other way round.
+question keeps its template when it is asked again with other values.  A run of
+names is one placeholder, and so is a number with its unit, as other values may
+have more or fewer words.  Windows of template words are hashed and joined with
+those of the benchmark, and so are windows of case-folded literal words, as
+templates depend on case.  Windows mostly of placeholders are no evidence as
+templates.
+
+Matches on one diagonal (document position minus item position, in literal words),
+or on diagonals at most SHIFT apart, add up to covered words; a document is
+contaminated where they reach NEED_WORDS or half of the item, a placeholder being
+one word.  Where covered words are placeholders, the values must correspond
+consistently: one value of the item to one of the document, and the other way
+round.  Matches of literal windows are of equal values and need no such check.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import cut, scratched
 
 WIDTH = 8
 NEED_WORDS = 13
-LEAST_LITERAL = 0.5  # of a template window's words; with fewer it is matched by its literal words only
+LEAST_LITERAL = 0.5  # of WIDTH, or of a shorter item, are literal in a template window; with fewer, literal words alone are matched
+SHIFT = 8  # words between neighbouring diagonals of one item
 BROADCAST_ROWS = 1_000_000  # benchmark windows of 16 bytes; beyond, the join shuffles
 
 #: Placeholders are private-use characters, which no letter class contains.
@@ -34,6 +40,12 @@ UNITS = (
     "percent dollars dollar cents cent euros euro usd eur gbp mph kmh degrees celsius fahrenheit"
 ).split()
 
+#: Capitalised words that are no names.
+FUNCTION = (
+    "The A An In On At Of For From To With By As If It Its Is Are Was Were Be And Or But Not No So Then There This That These Those He She They We You I "
+    "What Which Who Whom Whose When Where Why How Each Every All Some Any One After Before During While Do Does Did Has Have Had Can Could Will Would Should"
+).split()
+
 
 def templated(text: Column) -> Column:
     """Words of the template, one for each word of literal(text)."""
@@ -41,7 +53,7 @@ def templated(text: Column) -> Column:
     t = F.regexp_replace(text, f"[{SLOTS}]", "")
     t = F.regexp_replace(t, rf"(?<!\S){edge}\p{{N}}[\p{{N}}.,:/]*(?:\p{{L}}{{1,3}})?{edge}(?!\S)", NUMBER)
     t = F.regexp_replace(t, rf"(?i)(?<=\s){edge}(?:{'|'.join(UNITS)}){edge}(?!\S)", UNIT)
-    t = F.regexp_replace(t, r"(?<=[^.!?:\s]\s)\p{Lu}\S*", NAME)
+    t = F.regexp_replace(t, rf"(?<!\S){edge}(?!(?:{'|'.join(FUNCTION)})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\S*", NAME)
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}\s{SLOTS}]+", "")
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
@@ -52,33 +64,65 @@ def literal(text: Column) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
-def windows(words: Column, width: int) -> Column:
-    """Hash of each window of `width` words, an array by place; empty for shorter texts."""
+def units(words: Column) -> Column:
+    """Place of the first word of each template unit: runs of names are one, and so is a number with its unit."""
+
+    def goes_on(w, i):
+        before = F.get(words, i - 1)
+        return (i > 0) & (((w == NAME) & (before == NAME)) | ((w == UNIT) & (before == NUMBER)))
+
+    return F.filter(F.transform(words, lambda w, i: F.when(~F.coalesce(goes_on(w, i), F.lit(False)), i)), lambda i: i.isNotNull())
+
+
+def values_of(plain: Column, starts: Column) -> Column:
+    """The literal words of each template unit."""
+    return F.transform(starts, lambda i, k: F.array_join(F.slice(plain, i + 1, F.coalesce(F.get(starts, k + 1), F.size(plain)) - i), " "))
+
+
+def windows(words: Column, starts: Column, width: int) -> Column:
+    """Array of (p, k, w): hash w of each window of `width` words, k its place and p = starts[k]; empty for shorter texts."""
     hashed = F.transform(words, lambda w: F.xxhash64(w))
+    window = lambda h, i: F.struct(F.get(h["s"], i).alias("p"), i.alias("k"), F.xxhash64(F.slice(h["x"], i + 1, width)).alias("w"))
     # The one-element outer array binds the hashes once for all windows.
     return F.flatten(
         F.transform(
-            F.array(hashed),
-            lambda h: F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.xxhash64(F.slice(h, i, width)))).otherwise(F.array().cast("array<bigint>")),
+            F.array(F.struct(hashed.alias("x"), starts.alias("s"))),
+            lambda h: F.when(F.size(h["x"]) >= width, F.transform(F.sequence(F.lit(0), F.size(h["x"]) - width), lambda i: window(h, i))).otherwise(F.array().cast("array<struct<p:int,k:int,w:bigint>>")),
         )
     )
 
 
+def shaped(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with plain (literal words), starts (of template units) and words (template units)."""
+    out = rows.withColumn("raw", templated(text)).withColumn("plain", literal(text)).withColumn("starts", units(F.col("raw")))
+    return out.withColumn("words", F.transform("starts", lambda i: F.get("raw", i))).drop("raw")
+
+
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(w, item_id, q, item_words, width, verbatim): windows of each item; items shorter than WIDTH are one window of their own width.
-
-    verbatim: the window is of literal words, which a match repeats; else of template words."""
-    raw = F.coalesce("t", F.lit(""))
-    held = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("t")).where("item_id is not null").withColumn("words", templated(raw)).withColumn("plain", literal(raw))
-    held = held.withColumn("item_words", F.size("words")).withColumn("width", F.least("item_words", F.lit(WIDTH))).where("item_words > 0")
-    placed = held.select("item_id", "item_words", "width", "words", "plain", F.posexplode(F.expr("sequence(1, item_words - width + 1)")).alias("q", "start"))
-    part = placed.withColumn("part", F.expr("slice(words, start, width)")).withColumn("same", F.expr("slice(plain, start, width)"))
-    literals = F.size(F.filter("part", lambda w: ~w.isin(NUMBER, UNIT, NAME)))
-    telling = literals >= F.col("width") * LEAST_LITERAL
-    rest = ["item_id", "q", "item_words", "width"]
+    """(w, item_id, item_words, item_units, width, a, b, ua, ub, kq): windows of each item; items shorter than WIDTH are one window of their own width.
+
+    [a, b) are the literal words of the window, [ua, ub) its template units.  kq: the first unit of a template window, null for one of literal words."""
+    held = items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("item_id is not null")
+    held = shaped(held, F.col("t")).withColumn("item_words", F.size("plain")).withColumn("item_units", F.size("words")).where("item_words > 0")
     hashed = lambda c: F.xxhash64(F.transform(c, lambda w: F.xxhash64(w))).alias("w")
-    template = part.where(telling & (F.col("part") != F.col("same"))).select(hashed("part"), *rest, F.lit(False).alias("verbatim"))
-    return template.unionByName(part.select(hashed("same"), *rest, F.lit(True).alias("verbatim"))).distinct()
+    ids = ["item_id", "item_words", "item_units", "width"]
+    unit_of = lambda i: F.size(F.filter("starts", lambda s: s <= i)) - 1
+    same = held.withColumn("width", F.least("item_words", F.lit(WIDTH))).select("*", F.explode(F.expr("sequence(0, item_words - width)")).alias("a")).withColumn("b", F.col("a") + F.col("width"))
+    same = same.select(hashed(F.expr("slice(plain, a + 1, width)")), *ids, "a", "b", unit_of(F.col("a")).alias("ua"), (unit_of(F.col("b") - 1) + 1).alias("ub"), F.lit(None).cast("int").alias("kq"))
+    part = held.withColumn("width", F.least("item_units", F.lit(WIDTH))).select("*", F.explode(F.expr("sequence(0, item_units - width)")).alias("ua")).withColumn("part", F.expr("slice(words, ua + 1, width)"))
+    literals = F.size(F.filter("part", lambda w: ~w.isin(NUMBER, UNIT, NAME)))
+    part = part.where((literals >= F.least("item_words", F.lit(WIDTH)) * LEAST_LITERAL) & (literals < F.col("width")))  # without placeholders, it is one of the others
+    behind = F.expr("coalesce(get(starts, ua + width), item_words)")
+    part = part.select(hashed("part"), *ids, F.expr("get(starts, ua)").alias("a"), behind.alias("b"), "ua", (F.col("ua") + F.col("width")).alias("ub"), F.col("ua").alias("kq"))
+    return same.unionByName(part).distinct()
+
+
+def covered(spans: Column, start: str, end: str) -> Column:
+    """Number of places that the spans cover."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x[start].alias("a"), x[end].alias("b"))))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["to"]))).alias("n"), F.greatest(s["to"], x["b"]).alias("to"))
+    return F.aggregate(ordered, zero, step, lambda s: s["n"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -92,60 +136,56 @@ def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", it
     widths = [r[0] for r in bench.select("width").distinct().collect()]  # WIDTH values at most
     small = bench.count() <= BROADCAST_ROWS
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("t")).where("t is not null")
-    worded = own.select("doc_id", "th", templated(F.col("t")).alias("words"), literal(F.col("t")).alias("plain"))
+    worded = shaped(own, F.col("t")).drop("t")
     hits = None
     for width in sorted(widths) or [WIDTH]:
         right = bench.where(F.col("width") == width)
-        # Template windows, then literal ones; both have the same number of words.
-        both = F.concat(windows(F.col("words"), width), windows(F.col("plain"), width))
-        places = worded.select("doc_id", "th", (F.size("words") - width + 1).alias("n"), F.posexplode(both).alias("at", "w")).withColumn("p", F.expr("if(at < n, at, at - n)"))
-        found = places.join(F.broadcast(right) if small else right, "w").select("doc_id", "th", "item_id", "item_words", "width", (F.col("p") - F.col("q")).alias("diagonal"), "q", "verbatim")
+        every = F.transform("plain", lambda w, i: i)
+        both = F.concat(windows(F.col("words"), F.col("starts"), width), windows(F.col("plain"), every, width))
+        places = worded.select("doc_id", "th", F.explode(both).alias("x")).select("doc_id", "th", "x.*")
+        span = F.struct("a", "b", "ua", "ub", "kq", F.when(F.col("kq").isNotNull(), F.col("k")).alias("k"))
+        found = places.join(F.broadcast(right) if small else right, "w").select("doc_id", "th", "item_id", "item_words", "item_units", (F.col("p") - F.col("a")).alias("diagonal"), span.alias("span"))
         hits = found if hits is None else hits.unionByName(found)
-    runs = hits.groupBy("doc_id", "th", "item_id", "item_words", "width", "diagonal").agg(
-        F.array_sort(F.collect_set("q")).alias("qs"), F.array_sort(F.collect_set(F.when(F.col("verbatim"), F.col("q")))).alias("literal_qs")
-    )
-
-    def covered(qs: str) -> Column:
-        """Words covered by the windows at qs: each adds the distance to the next, its width at most."""
-        gaps = F.transform(F.slice(qs, 2, F.greatest(F.size(qs), F.lit(1))), lambda q, i: F.least(q - F.element_at(qs, i + 1), F.col("width")))
-        return F.when(F.size(qs) > 0, F.aggregate(gaps, F.col("width"), lambda a, x: a + x)).otherwise(0)
-
-    need = F.least(F.lit(NEED_WORDS), F.ceil(F.col("item_words") / 2))
-    strong = cut(runs.withColumn("matched_words", covered("qs")).where(F.col("matched_words") >= need).withColumn("certain", covered("literal_qs") >= need), "runs")
+    key = ["doc_id", "th", "item_id", "item_words", "item_units"]
+    runs = hits.groupBy(*key, "diagonal").agg(F.collect_set("span").alias("spans"))
+    # Runs count by themselves, and neighbouring ones together.
+    along = Window.partitionBy(*key).orderBy("diagonal")
+    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT).cast("int"), F.lit(0))
+    chains = runs.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(along))
+    chains = chains.groupBy(*key, "chain").agg(F.count("*").alias("c"), F.flatten(F.collect_list("spans")).alias("spans"), F.min("diagonal").alias("diagonal")).where("c > 1")
+    groups = runs.withColumn("joint", F.lit(False)).unionByName(chains.select(*key, "diagonal", "spans", F.lit(True).alias("joint")))
+    alone = F.filter("spans", lambda x: x["kq"].isNull())
+    least = lambda n: F.least(F.lit(NEED_WORDS), F.ceil(F.col(n) / 2))
+    groups = groups.where((covered(alone, "a", "b") >= least("item_words")) | (covered(F.col("spans"), "ua", "ub") >= least("item_units")))
+    strong = cut(groups.withColumn("matched_words", covered(F.col("spans"), "a", "b")), "runs")
     bench.unpersist()
-    checked = strong.where("certain").unionByName(consistent(strong.where("not certain"), own, items, item_id, item_text))
+    checked = consistent(strong, own, items, item_id, item_text)
     return checked.groupBy("doc_id", "th", "item_id").agg(F.max("matched_words").cast("long").alias("matched_words"), F.max("item_words").cast("long").alias("item_words"))
 
 
 def consistent(runs: DataFrame, own: DataFrame, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """The runs whose placeholder values correspond one to one."""
-    raw = F.coalesce(F.col(item_text), F.lit(""))
-    slotted = items.select(F.col(item_id).cast("long").alias("item_id"), templated(raw).alias("it"), literal(raw).alias("iv"))
-    slotted = slotted.where(F.exists("it", lambda w: w.isin(NUMBER, UNIT, NAME)))
-    places = F.filter(F.transform("it", lambda w, i: F.when(w.isin(NUMBER, UNIT, NAME), i)), lambda i: i.isNotNull())
-    # Placeholders that lie in a window that matched.
-    asked = cut(
-        runs.join(slotted, "item_id")
-        .withColumn("slots", F.filter(places, lambda i: F.exists("qs", lambda q: (q <= i) & (i < q + F.col("width")))))
-        .where("size(slots) > 0")
-        .select("doc_id", "th", "item_id", "diagonal", "slots", "iv", "it"),
-        "slots",
-    )
+    key = ["doc_id", "th", "item_id", "diagonal", "joint"]
+    slotted = shaped(items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("t")), F.col("t"))
+    slotted = slotted.select("item_id", F.col("words").alias("it"), values_of(F.col("plain"), F.col("starts")).alias("iv"))
+    # Template windows that matched.
+    asked = cut(runs.select(*key, F.explode(F.filter("spans", lambda x: x["kq"].isNotNull())).alias("x")).select(*key, "x.kq", "x.ub", "x.k").join(slotted, "item_id"), "slots")
     whose = asked.select(F.col("doc_id").alias("d"), F.col("th").alias("h")).distinct()
     texts = own.join(whose, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left_semi").dropDuplicates(["doc_id", "th"]).toDF("d", "h", "t")
-    pairs = asked.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).withColumn("dv", literal(F.col("t")))
-    values = pairs.select(
-        "doc_id", "th", "item_id", "diagonal",
-        F.explode(F.transform("slots", lambda i: F.struct(F.element_at("it", i + 1).alias("kind"), F.lower(F.element_at("iv", i + 1)).alias("a"), F.lower(F.get("dv", i + F.col("diagonal"))).alias("b")))).alias("x"),
-    ).select("doc_id", "th", "item_id", "diagonal", "x.*")
-    key = ["doc_id", "th", "item_id", "diagonal"]
+    texts = shaped(texts, F.col("t")).select("d", "h", values_of(F.col("plain"), F.col("starts")).alias("dv"))
+    pairs = asked.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
+    pair = lambda i: F.struct(F.get("it", i).alias("kind"), F.get("iv", i).alias("a"), F.get("dv", i - F.col("kq") + F.col("k")).alias("b"))
+    values = pairs.select(*key, F.explode(F.transform(F.sequence("kq", F.col("ub") - 1), pair)).alias("x")).select(*key, "x.*").where(F.col("kind").isin(NUMBER, UNIT, NAME))
     one = values.groupBy(*key, "kind", "a").agg(F.count_distinct("b").alias("k"))
     other = values.groupBy(*key, "kind", "b").agg(F.count_distinct("a").alias("k"))
     clash = one.unionByName(other.withColumnRenamed("b", "a")).where("k > 1").select(*key).distinct()
     names = [c + "_x" for c in key]
     clash = clash.toDF(*names)
-    same = [runs[c].eqNullSafe(clash[n]) for c, n in zip(key, names, strict=True)]
-    return runs.join(clash, same[0] & same[1] & same[2] & same[3], "left_anti")
+    on = None
+    for c, n in zip(key, names, strict=True):
+        same = runs[c].eqNullSafe(clash[n])
+        on = same if on is None else on & same
+    return runs.join(clash, on, "left_anti")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
