@@ -1,8 +1,10 @@
 import random
+from pathlib import Path
 
 import pytest
 
 from tidemark.llm.near_dedup import keep_one_of_each, near_duplicates
+from tidemark.llm.shared import components, shared_dir, sweep
 
 SCHEMA = "doc_id long, text string, component_id string, id string, h string"
 
@@ -65,3 +67,31 @@ def test_edges(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(docs).count() == 0
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    texts = {"t": " ".join(f"t{i}" for i in range(30)), "u": " ".join(f"u{i}" for i in range(30))}
+    docs = spark.createDataFrame([(i, texts[t], None, None, None) for i, t in ((1, "t"), (8, "t"), (8, "u"), (9, "u"))], SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()} == {(1, 1), (8, 1), (9, 1)}
+    assert [r.doc_id for r in keep_one_of_each(docs).collect()] == [1]
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    for edges in ([], [(3, 3)], [(i, i + 1) for i in range(40)], [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]):
+        lowest = {x: x for e in edges for x in e}
+        for _ in edges:
+            for a, b in edges:
+                lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+        found = {r["id"]: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert found == {x: c for x, c in lowest.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_all_tables_go(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    sweep(spark)
+    before = {p.name for p in folder.iterdir()}
+    near_duplicates(spark.createDataFrame([(i, t, None, None, None) for i, t in corpus(3, 20)], SCHEMA)).collect()
+    assert {p.name for p in folder.iterdir()} - before
+    sweep(spark)
+    assert {p.name for p in folder.iterdir()} <= before

@@ -27,7 +27,7 @@ WIDTH = 8
 NEED_WORDS = 13
 LEAST_LITERAL = 0.5  # of WIDTH, or of a shorter item, are literal in a template window; with fewer, literal words alone are matched
 SHIFT = 8  # words between neighbouring diagonals of one item
-BROADCAST_ROWS = 1_000_000  # benchmark windows of 16 bytes; beyond, the join shuffles
+BROADCAST_ROWS = 150_000  # benchmark windows of about 100 bytes, so 15 MB; beyond, the join shuffles
 
 #: Placeholders are private-use characters, which no letter class contains.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -132,20 +132,17 @@ def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", it
     apart by text; equal rows give one result row.  Null and empty texts match
     nothing.  An empty benchmark gives no rows.  Other columns are ignored.
     """
-    bench = benchmark_windows(items, item_id, item_text).persist()
-    widths = [r[0] for r in bench.select("width").distinct().collect()]  # WIDTH values at most
+    bench = cut(benchmark_windows(items, item_id, item_text), "windows")
+    widths = sorted(r[0] for r in bench.select("width").distinct().collect()) or [WIDTH]  # WIDTH values at most
     small = bench.count() <= BROADCAST_ROWS
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("t")).where("t is not null")
     worded = shaped(own, F.col("t")).drop("t")
-    hits = None
-    for width in sorted(widths) or [WIDTH]:
-        right = bench.where(F.col("width") == width)
-        every = F.transform("plain", lambda w, i: i)
-        both = F.concat(windows(F.col("words"), F.col("starts"), width), windows(F.col("plain"), every, width))
-        places = worded.select("doc_id", "th", F.explode(both).alias("x")).select("doc_id", "th", "x.*")
-        span = F.struct("a", "b", "ua", "ub", "kq", F.when(F.col("kq").isNotNull(), F.col("k")).alias("k"))
-        found = places.join(F.broadcast(right) if small else right, "w").select("doc_id", "th", "item_id", "item_words", "item_units", (F.col("p") - F.col("a")).alias("diagonal"), span.alias("span"))
-        hits = found if hits is None else hits.unionByName(found)
+    # Texts are read and shaped once for the windows of all widths; hashes of different widths do not meet.
+    every = F.transform("plain", lambda w, i: i)
+    places = F.concat(*[windows(words, starts, width) for width in widths for words, starts in ((F.col("words"), F.col("starts")), (F.col("plain"), every))])
+    span = F.struct("a", "b", "ua", "ub", "kq", F.when(F.col("kq").isNotNull(), F.col("k")).alias("k"))
+    found = worded.select("doc_id", "th", F.explode(places).alias("x")).select("doc_id", "th", "x.*").join(F.broadcast(bench) if small else bench.hint("merge"), "w")
+    hits = found.select("doc_id", "th", "item_id", "item_words", "item_units", (F.col("p") - F.col("a")).alias("diagonal"), span.alias("span"))
     key = ["doc_id", "th", "item_id", "item_words", "item_units"]
     runs = hits.groupBy(*key, "diagonal").agg(F.collect_set("span").alias("spans"))
     # Runs count by themselves, and neighbouring ones together.
@@ -158,7 +155,6 @@ def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", it
     least = lambda n: F.least(F.lit(NEED_WORDS), F.ceil(F.col(n) / 2))
     groups = groups.where((covered(alone, "a", "b") >= least("item_words")) | (covered(F.col("spans"), "ua", "ub") >= least("item_units")))
     strong = cut(groups.withColumn("matched_words", covered(F.col("spans"), "a", "b")), "runs")
-    bench.unpersist()
     checked = consistent(strong, own, items, item_id, item_text)
     return checked.groupBy("doc_id", "th", "item_id").agg(F.max("matched_words").cast("long").alias("matched_words"), F.max("item_words").cast("long").alias("item_words"))
 
@@ -195,6 +191,6 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 @scratched
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that no benchmark item contaminates."""
-    bad = cut(contaminated(docs, items).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "contaminated", outer=True)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left_anti")
+    """The rows of `docs`, all columns, that no benchmark item contaminates; rows without text stay."""
+    bad = cut(contaminated(docs, items).select("doc_id", "th").distinct(), "contaminated", outer=True)
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["th"]), "left_anti")

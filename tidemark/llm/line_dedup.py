@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import cut, perhaps, release, scratched
+from tidemark.llm.shared import WORD, cut, hot_join, release, scratched, unused
 
 LEAST_WORDS = 5
 EDIT_WORDS = 8
@@ -153,68 +153,81 @@ def repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     th is xxhash64 of the text, so rows that share an id but not the text are told
     apart; earlier means a smaller (doc_id, th, line).  Rows with null id or null
     text have no part."""
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
     lines = cut(own.mapInArrow(line_keys, LINE_SCHEMA), "lines")
     halves = [f"p{i}" for i in range(HALF_KEYS)]
     distinct = cut(
         lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("at"), F.count("*").alias("c"), F.first("w").alias("w"), *[F.first(p).alias(p) for p in halves]), "distinct-lines"
     )
-    release(docs.sparkSession)
+    release(spark)
+    total = distinct.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     long_enough = distinct.where(f"w >= {EDIT_WORDS - 1}").select("at", F.explode(F.array(*halves)).alias("p"))
-    met = long_enough.groupBy("p").agg(F.count("*").alias("c")).where("c > 1").select("p")
-    risky = long_enough.join(met, "p", "left_semi").select("at.*").distinct()
+    met = cut(long_enough.groupBy("p").agg(F.count("*").alias("c")).where("c > 1"), "halves")
+    risky = hot_join(long_enough, met, ["p"], "c", HALF_KEYS * total).select("at.*").distinct()
     by_doc = cut(risky.groupBy("doc_id", "th").agg(F.collect_list("line").alias("wanted")), "risky")
-    release(docs.sparkSession)
-    once = perhaps(own, by_doc, "doc_id", "th").join(by_doc, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
+    release(spark)
+    once = own.join(by_doc.hint("shuffle_hash"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
     texts = cut(once.mapInArrow(sequences, "doc_id long, th long, line int, seq binary"), "sequences")
-    release(docs.sparkSession)
+    release(spark)
     emitted = cut(texts.mapInArrow(variants, "doc_id long, th long, line int, v long, role byte"), "variants").withColumn("at", F.struct(*PLACE))
     # Only groups of two and more can matter; of each, the earliest line as it is and the earliest with a word deleted.
-    shared = emitted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    grouped = cut(emitted.join(shared, "v", "left_semi").select("v", "role", "at"), "groups")
-    release(docs.sparkSession)
-    heads = grouped.groupBy("v").agg(F.min(F.when(F.col("role") == 2, F.col("at"))).alias("plain"), F.min(F.when(F.col("role") != 2, F.col("at"))).alias("less"))
+    shared = cut(emitted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    many = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    grouped = cut(hot_join(emitted, shared, ["v"], "c", many).select("v", "role", "at"), "groups")
+    release(spark)
+    heads = grouped.groupBy("v").agg(F.min(F.when(F.col("role") == 2, F.col("at"))).alias("plain"), F.min(F.when(F.col("role") != 2, F.col("at"))).alias("less"), F.count("*").alias("c"))
     partner = F.when(F.col("role") == 1, F.col("plain")).otherwise(F.col("less"))
-    found = grouped.join(heads, "v").withColumn("partner", partner).where("partner < at").groupBy("at").agg(F.min("partner").alias("partner"))
+    found = hot_join(grouped, cut(heads, "heads"), ["v"], "c", many).withColumn("partner", partner).where("partner < at").groupBy("at").agg(F.min("partner").alias("partner"))
     pairs = found.select("at.*", F.col("partner.doc_id").alias("pd"), F.col("partner.th").alias("pt"), F.col("partner.line").alias("pl"))
     right = texts.toDF("pd", "pt", "pl", "other")
-    near = pairs.join(texts, list(PLACE)).join(right, ["pd", "pt", "pl"]).select(*PLACE, "seq", "other").mapInArrow(verify, "doc_id long, th long, line int")
+    near = pairs.hint("merge").join(texts, list(PLACE)).hint("merge").join(right, ["pd", "pt", "pl"]).select(*PLACE, "seq", "other").mapInArrow(verify, "doc_id long, th long, line int")
     near_keys = cut(near.withColumn("near", F.lit(True)).select(F.struct(*PLACE).alias("at"), "near"), "near")
-    release(docs.sparkSession)
-    gone = cut(distinct.join(near_keys, "at", "left").where("c > 1 or near").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near")), "gone")
-    release(docs.sparkSession)
-    hit = lines.join(gone, ["k1", "k2"]).where(F.col("near") | (F.struct(*PLACE) != F.col("at")))
+    release(spark)
+    gone = distinct.hint("merge").join(near_keys, "at", "left").where("c > 1 or near").select("k1", "k2", "at", "c", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = cut(gone, "gone")
+    release(spark)
+    hit = hot_join(lines.select(*PLACE, "k1", "k2"), gone, ["k1", "k2"], "c", total).where(F.col("near") | (F.struct(*PLACE) != F.col("at")))
     return hit.groupBy("doc_id", "th").agg(F.collect_set("line").alias("removed"))
 
 
 @scratched
-def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated lines taken out of the text, and __n_lines, __n_removed.
-
-    A null text stays null with no lines; an empty text has one empty line."""
-    gone = cut(repeated_lines(docs, text_col), "removed", outer=True).toDF("__id", "__th", "__gone")
-    joined = docs.withColumn("__h", F.xxhash64(text_col)).join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.select(
-        *[F.when(F.col("__gone").isNull(), docs[c]).otherwise(left).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).cast("long").alias("__n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__n_removed"),
+def dedup_lines(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """`docs` with the repeated lines taken out of the text, and two more columns, the numbers of lines and of removed lines, whose names follow it.
+
+    A null text stays null with no lines; an empty text has one empty line.  All
+    other columns stay as they are, whatever their names."""
+    gone = cut(repeated_lines(docs, text_col), "removed", outer=True)
+    n_lines, n_removed = unused(docs, "n_lines", "n_removed")
+    joined = docs.join(gone.hint("shuffle_hash"), (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["th"]), "left")
+    parts, removed = F.split(docs[text_col], "\n", -1), gone["removed"]
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(removed, i)), "\n")
+    found = joined.select(
+        *[F.when(removed.isNull(), docs[c]).otherwise(left).alias(c) if c == text_col else docs[c] for c in docs.columns],
+        F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).cast("long").alias(n_lines),
+        F.when(removed.isNull(), 0).otherwise(F.size(removed)).cast("long").alias(n_removed),
     )
+    return found, n_lines, n_removed
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = dedup_lines(docs.select("doc_id", "text"))
-    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    """doc_id, n_lines, n_removed, text_sha256 (of the text that is left; a null text counts as empty): a row for each row of `docs`.
+
+    Of equal lines, and of those within the edit bound, the one with the smallest
+    (doc_id, xxhash64 of the text, line number) stays; rows that repeat an id and a
+    text are one text, and all lose the same lines."""
+    found, n_lines, n_removed = dedup_lines(docs.select("doc_id", "text"))
+    return found.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The columns of `docs`, text and n_chars being those left; a document goes when all it had was said earlier."""
-    found = dedup_lines(docs).where(r"__n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'").drop("__n_lines")
+    found, n_lines, n_removed = dedup_lines(docs)
+    found = found.where((F.col(n_removed) == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.drop("__n_removed")
+        found = found.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return found.drop(n_lines, n_removed)
 
 
 ORACLE = r"""

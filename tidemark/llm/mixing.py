@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD, cut, scratched
+from tidemark.llm.shared import WORD, cut, scratched, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # budget over all words, as a fraction
@@ -54,9 +54,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", "n", "rank", capped.alias("target"))
 
 
-def shuffled(doc_id) -> Column:
-    """A 52-bit position drawn from the id alone, so that reruns agree."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
+def shuffled(doc_id, text) -> Column:
+    """A 52-bit position drawn from the id alone, or from the text of a row without id, so that reruns agree."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))), 1, 13), 16, 10).cast("long")
 
 
 def copies_taken() -> list[str]:
@@ -67,14 +67,13 @@ def copies_taken() -> list[str]:
 def serve(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, source, v (the shuffled position) and, for each copy k of a row, taken_k: the words that the mix takes of it."""
     spark = docs.sparkSession
-    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size")), "sizes")
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), shuffled("doc_id", "text").alias("v")), "sizes")
     aims = cut(targets(sizes), "targets")
     budget = aims.agg(F.sum("source_size")).first()[0]
     budget = (budget or 0) * SHARE[0] // SHARE[1]
     aims = aims.withColumnRenamed("source", "s")
     placed = (
         sizes.join(aims, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("v", shuffled("doc_id"))
         .withColumn("part", F.floor(F.col("v") * F.ceil(F.sqrt("n")) / F.lit(HASH_SPAN)))
     )
     inside = Window.partitionBy("rank", "part").orderBy("v", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -132,21 +131,21 @@ def mix(docs: DataFrame) -> DataFrame:
 BROADCAST_SOURCES = 10_000
 
 
-def position(doc_id, size) -> Column:
+def position(v: Column, doc_id: Column, size: Column) -> Column:
     """Place of a row in its source's queue."""
-    return F.struct(shuffled(doc_id).alias("v"), F.col(doc_id).cast("long").alias("doc_id"), F.col(size).alias("size"))
+    return F.struct(v.alias("v"), doc_id.cast("long").alias("doc_id"), size.alias("size"))
 
 
 @scratched
 def mixed_corpus(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the mix takes, all columns, with mix_taken: the words taken, repeats counted.
+    """The rows of `docs` that the mix takes, all columns, with mix_taken (with underscores behind it where `docs` has that name): the words taken, repeats counted.
 
     What the mix takes of a source is, for each copy, a prefix of its queue.  So one
     row a source tells it for all documents, and their texts are filtered where
     they are read.  Rows that tie at a prefix's end share its words evenly,
     rounded up; a single row there has just what mix() gives.
     """
-    served = serve(docs).withColumn("at", position("doc_id", "size"))
+    served = serve(docs).withColumn("at", position(F.col("v"), F.col("doc_id"), F.col("size")))
     copies = range(REPEATS)
     ends = served.groupBy("source").agg(*[F.min(F.when(F.col(f"taken_{k}") < F.col("size"), F.col("at"))).alias(f"end_{k}") for k in copies])
     ends = cut(ends.withColumnRenamed("source", "s"), "ends")
@@ -154,20 +153,24 @@ def mixed_corpus(docs: DataFrame) -> DataFrame:
     ends = F.broadcast(ends) if few else ends
     tied = served.join(ends, F.col("source").eqNullSafe(F.col("s")))
     shares = [F.ceil(F.avg(F.when(F.col("at") == F.col(f"end_{k}"), F.col(f"taken_{k}")))).cast("long").alias(f"part_{k}") for k in copies]
-    bounds = cut(tied.groupBy("s").agg(*[F.first(f"end_{k}").alias(f"end_{k}") for k in copies], *shares).select(F.struct("*").alias("__cut")), "bounds", outer=True)
-    own = docs.withColumn("__size", word_count(docs["text"])).withColumn("__at", position("doc_id", "__size"))
-    joined = own.join(F.broadcast(bounds) if few else bounds, own["source"].cast("string").eqNullSafe(F.col("__cut.s")))
+    bounds = cut(tied.groupBy("s").agg(*[F.first(f"end_{k}").alias(f"end_{k}") for k in copies], *shares), "bounds", outer=True)
+    size, at = word_count(docs["text"]), position(shuffled("doc_id", "text"), F.col("doc_id"), word_count(F.col("text")))
+    size_name, at_name, taken_name = unused(docs, "size", "at", "mix_taken")
+    own = docs.withColumns({size_name: size, at_name: at})
+    joined = own.join(F.broadcast(bounds) if few else bounds, own["source"].cast("string").eqNullSafe(bounds["s"]))
 
     def words(k: int) -> Column:
-        end = F.col(f"__cut.end_{k}")
-        return F.when(end.isNull() | (F.col("__at") < end), F.col("__size")).when(F.col("__at") == end, F.col(f"__cut.part_{k}")).otherwise(0)
+        end = bounds[f"end_{k}"]
+        return F.when(end.isNull() | (own[at_name] < end), own[size_name]).when(own[at_name] == end, bounds[f"part_{k}"]).otherwise(0)
 
-    return joined.withColumn("mix_taken", sum(map(words, copies), F.lit(0)).cast("long")).where("mix_taken > 0").select(*docs.columns, "mix_taken")
+    taken = sum(map(words, copies), F.lit(0)).cast("long").alias(taken_name)
+    return joined.select(*[own[c] for c in docs.columns], taken).where(F.col(taken_name) > 0)
 
 
 ORACLE = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT AS v FROM documents
 ), by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM sizes GROUP BY source
 ), weighed AS (
@@ -183,7 +186,7 @@ WITH sizes AS (
 ), aims AS (
   SELECT source, source_size, rank, CASE WHEN water IS NULL OR 2 * source_size <= water * w THEN 2.0::DOUBLE * source_size ELSE water * w END AS target FROM watered
 ), placed AS (
-  SELECT doc_id, size, s.source, source_size, target, rank, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS v
+  SELECT doc_id, size, s.source, source_size, target, rank, v
   FROM sizes s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
 ), queued AS (
   SELECT *, sum(size) OVER (PARTITION BY rank ORDER BY v, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM placed

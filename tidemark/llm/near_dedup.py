@@ -4,10 +4,13 @@ Each permutation is evaluated once per shingle and yields two signature values,
 the minimum and the maximum, so a signature of 2P values costs P evaluations.
 Rows of equal shingle sets form one class first; only class representatives are
 banded.  A bucket (equal band) never emits all its pairs: its members are first
-compared with pivots and linked members merge; the members of buckets that still
-hold several components then go through an exact prefix join on their rarest
-shingles, which leaves no pair that shares a bucket undecided.  Every link is
-confirmed on full shingle sets.
+compared with two pivots, the least by id and the least by hash, and linked
+members merge; the members of buckets that still hold several components then go
+through an exact prefix join on their rarest shingles, which leaves no pair that
+shares a bucket undecided.  Every link is confirmed on full shingle sets.
+
+Joins are by sort and merge or by hash after a shuffle, at every size: the plan of
+a small corpus is that of a large one, and the driver builds no hash tables.
 """
 
 from __future__ import annotations
@@ -18,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import components, cut, perhaps, scratched
+from tidemark.llm.shared import components, cut, hot_join, release, scratched
 
 BANDS = 42
 PERMUTATIONS_PER_BAND = 3  # six values: a pair of similarity 0.8 shares a band with probability 1 - 3e-6
 ID_BITS = 12  # documents of one slice are told apart by the top bits of the sort key
-PIVOT_ROUNDS = 1  # before the exact join
 
 
 def _constants(bands: int, per_band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,78 +184,95 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     counts = sets.select("members").mapInArrow(counter, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
     load = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     load[counts["slot"].to_numpy()] = counts["c"].to_numpy()
-    rows = cut(sets.select("id", "comp", "n", "members").mapInArrow(prefixes(spark.sparkContext.broadcast(load), percent), "shingle long, id long, comp long, n long, place int"), "prefixes")
+    loads = spark.sparkContext.broadcast(load)
+    rows = cut(sets.select("id", "comp", "n", "members").mapInArrow(prefixes(loads, percent), "shingle long, id long, comp long, n long, place int"), "prefixes")
+    loads.destroy()
     held = rows.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
-    mixed = held.groupBy("shingle").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("shingle", "main")
-    met = cut(rows.join(mixed, "shingle"), "met")
+    mixed = held.groupBy("shingle").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("c")).where("k > 1").select("shingle", "main", "c")
+    mixed = cut(mixed, "mixed")
+    total = mixed.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    met = cut(hot_join(rows, mixed, ["shingle"], "c", total), "met")
     fewer = met.where("comp <> main").select("shingle", *[F.col(c).alias("o_" + c) for c in ("id", "comp", "n", "place")])
     room = F.expr(f"{100 + percent} * least(n - place, o_n - o_place) >= {percent} * (n + o_n)")
-    meet = met.join(fewer, "shingle").where((F.col("comp") != F.col("o_comp")) & room)
+    meet = met.hint("merge").join(fewer, "shingle").where((F.col("comp") != F.col("o_comp")) & room)
     return meet.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
+def shared_ids(linkable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from each id whose rows are of several classes to the smallest id of each of them, as one id is one document."""
+    several = linkable.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
+    rows = linkable.select("doc_id", "set_key").hint("merge").join(several, "doc_id", "left_semi").distinct()
+    return rows.hint("merge").join(classes.select("set_key", "id"), "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+
+
 @scratched
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, per_band: int = PERMUTATIONS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each input row.
 
     Null or wordless texts have an empty set and link with nothing.  A row with a
-    null id keeps null as component and is kept.  Rows that share an id count as
-    one document.  Other columns of `docs` are ignored.
+    null id keeps null as component and is kept.  Rows that share an id are one
+    document, whose links are those of all its rows.  Other columns of `docs` are
+    ignored, whatever their names.
     """
+    spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = cut(own.mapInArrow(signer(width, bands, per_band), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures", outer=True)
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
 
-    size_ok = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
     entries = classes.select("id", "n", F.explode("bands").alias("h"))
-    shared = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = cut(entries.join(shared, "h").select("h", "id", "n", "c"), "buckets")
-    wanted = cut(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    sets = cut(perhaps(own, wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(set_reader(width), "id long, members binary"), "sets")
+    shared = cut(entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    buckets = cut(hot_join(entries, shared, ["h"], "c", total).select("h", "id", "n", "c"), "buckets")
+    release(spark)
+    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
+    sets = cut(own.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(set_reader(width), "id long, members binary"), "sets")
+    release(spark)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
         b = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
-        return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(verifier(percent), "a long, b long").distinct(), name)
-
-    def star(rows: DataFrame, order) -> DataFrame:
-        """Each member with its bucket's pivot, the first by `order`; at most one pair a member."""
-        pivot = rows.groupBy("h").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))).alias("p")).select("h", "p.*")
-        return rows.join(pivot, "h").where((F.col("comp") != F.col("pcomp")) & size_ok).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-
-    # Rows of one id in several classes are one document: such ids are linked through the class representatives.
-    links = confirmed(star(buckets.withColumn("comp", F.col("id")), F.col("id")), "links")
-    tried = star(buckets.withColumn("comp", F.col("id")), F.col("id"))
-    labels = cut(components(links), "labels")
-
-    def open_buckets() -> DataFrame:
-        """Buckets whose members are not yet all in one component; with two members the star has settled them."""
-        rows = buckets.where("c > 2").join(labels, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("comp"))
-        mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-        return rows.join(mixed, "h", "left_semi")
-
-    for k in range(PIVOT_ROUNDS):
-        rows = cut(open_buckets(), "open")
-        pairs = star(rows, F.xxhash64("id", F.lit(k)))
-        links = links.unionByName(confirmed(pairs.join(tried, ["a", "b"], "left_anti"), "links"))
-        tried = tried.unionByName(pairs)
-        labels = cut(components(links), "labels")
-    members = open_buckets().select("id", "comp", "n").distinct()
-    candidates = cut(prefix_pairs(cut(sets.join(members, "id"), "open"), percent), "pairs")
-    links = links.unionByName(confirmed(candidates.join(tried, ["a", "b"], "left_anti"), "links"))
+        joined = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
+        return cut(joined.select("a", "b", "left", "right").mapInArrow(verifier(percent), "a long, b long").distinct(), name)
+
+    # Each member with its bucket's pivots: two pairs a member at most.
+    size_ok = F.expr(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    first = lambda order: F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("n").alias("n")))
+    pivots = cut(buckets.groupBy("h").agg(F.array(first(F.col("id")), first(F.xxhash64("id"))).alias("pivots"), F.count("*").alias("c")), "pivots")
+    met = hot_join(buckets.select("h", "id", "n"), pivots, ["h"], "c", total).select("id", "n", F.explode("pivots").alias("p")).where((F.col("id") != F.col("p.id")) & size_ok)
+    tried = cut(met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct(), "tried")
+    links = cut(confirmed(tried, "links").union(shared_ids(linkable, classes)), "links")
     labels = cut(components(links), "labels")
 
-    moved = cut(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "id", "last").where("component <> id or last <> id").select("set_key", "component"), "moved", outer=True)
-    result = signed.drop("bands").join(moved, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    # Buckets whose members are not yet all in one component; with two members the pivots have settled them.
+    rows = buckets.where("c > 2").select("h", "id", "n").hint("merge").join(labels, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("comp"))
+    rows = cut(rows, "labelled")
+    mixed = cut(rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", "c"), "mixed")
+    members = cut(hot_join(rows, mixed, ["h"], "c", total).select("id", "comp", "n").distinct(), "members")
+    candidates = cut(prefix_pairs(cut(sets.hint("merge").join(members, "id"), "open"), percent), "pairs")
+    found = confirmed(candidates.hint("merge").join(tried, ["a", "b"], "left_anti"), "links")
+    # The links found last join components; only those are contracted further.
+    ends = found
+    for end in ("a", "b"):
+        mapped = labels.toDF(end, "component")
+        ends = ends.hint("merge").join(mapped, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joins = components(ends, "joins").toDF("component", "lowest")
+    # found may name ids that had no link before
+    known = labels.unionByName(classes.select("id", F.col("id").alias("component")).hint("merge").join(labels.select("id"), "id", "left_anti"))
+    known = known.distinct().hint("merge").join(joins, "component", "left").select("id", F.coalesce("lowest", "component").alias("component"))
+    labels = cut(known.where("id <> component"), "labels")
+
+    moved = classes.hint("merge").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"), "id", "last").where("component <> id or last <> id").select("set_key", "component")
+    moved = cut(moved, "moved", outer=True)
+    result = signed.drop("bands").hint("merge").join(moved, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 @scratched
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all columns, without those whose document has an earlier near copy; rows repeated under one id all stay."""
-    gone = cut(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "copies", outer=True)
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = cut(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "copies", outer=True)
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 ORACLE = r"""

@@ -5,10 +5,12 @@ from __future__ import annotations
 import contextlib
 import functools
 import gc
+import re
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one only where the session names none, as in tests."""
-    conf = spark.sparkContext.getConf()
-    known = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.tidemark.shared.dir", "")
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Only a local session, whose executors are the driver, gets a private one where none is named; elsewhere that is an error."""
+    known = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tidemark.shared.dir", "")
     if not known:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.tidemark.shared.dir", known)
     return known.rstrip("/")
@@ -33,38 +39,61 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths of the tables that each open scratch() owns, one stack a thread; the first entry belongs to no scope and waits for sweep()."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = [[]]
+
+
+_SCOPES = _Scopes()
 
 
-def cut(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+def own(path: str, outer: bool = False) -> str:
+    """Have a path of the shared folder deleted at the end of the innermost scope, or with `outer` at that of the scope around it."""
+    stack = _SCOPES.stack
+    stack[max(0, len(stack) - 1 - outer)].append(path)
+    return path
+
+
+def cut(df: DataFrame, name: str, outer: bool = False, seen: Observation | None = None, *counted: Column) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here, and a lost executor costs no recomputation.
 
-    Inside scratch() the table is deleted at the scope's end, or with `outer` at that of the scope around it."""
-    path = fresh_path(df.sparkSession, name)
-    depth = len(_SCOPES) - 1 - outer
-    if depth >= 0:
-        _SCOPES[depth].append(path)
-    df.write.parquet(path)
+    Inside scratch() the table is deleted at the scope's end, or with `outer` at that of the scope around it; outside, by sweep().
+    `seen` observes the aggregates `counted` while the table is written."""
+    path = own(fresh_path(df.sparkSession, name), outer)
+    (df.observe(seen, *counted) if seen else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished queries, which otherwise stay until the driver happens to collect its garbage."""
+    """Let go of the shuffle files of finished queries: Spark deletes them once the driver's garbage collector finds their plans unused."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables behind the results that this thread has got so far outside of any scratch(); those results can't be read any more."""
+    paths = _SCOPES.stack[0]
+    delete(spark, paths)
+    paths.clear()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables cut inside are deleted on leaving, and what their queries shuffled may go with the next garbage collection."""
-    _SCOPES.append([])
+    _SCOPES.stack.append([])
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _SCOPES.pop():
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+        delete(spark, _SCOPES.stack.pop())
         release(spark)
 
 
@@ -79,21 +108,29 @@ def scratched(f):
     return run
 
 
-SLOT_BITS = 20  # 32 bitmaps of 4 KB, whatever the number of keys
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it from being a column of `df`, in any case."""
+    known, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        found.append(name)
+    return found
+
+
+HOT_KEYS = 1000
 
 
-def perhaps(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
-    """The rows whose key columns `names` may be among those of `keys`, and no others of note: all that match stay.
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of `left` with `right`, which has one row a key and tells in `count` how many of the `total` rows of left (or more) have it.
 
-    Keys set bits of a hash bitmap of fixed size, which is broadcast, so that most
-    rows without a partner go before a join shuffles them.  Past some million keys
-    the bitmap fills and lets all through.  A join must still follow."""
-    slot = F.pmod(F.xxhash64(*names), F.lit(1 << SLOT_BITS))
-    place = slot.bitwiseAND(F.lit(32767))
-    maps = keys.select(F.shiftright(slot, 15).alias("__bucket"), place.alias("__p")).groupBy("__bucket").agg(F.bitmap_construct_agg("__p").alias("__bits"))
-    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
-    return rows.join(F.broadcast(maps), F.shiftright(slot, 15) == F.col("__bucket")).where(hit).select(*rows.columns)
+    Keys with more than total / HOT_KEYS rows, of which there can be no more than
+    HOT_KEYS, are broadcast and their rows of left stay where they are; the others
+    are shuffled, and none of them makes up more than that share of a task."""
+    hot = F.col(count) * HOT_KEYS > F.lit(total)
+    few = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.hint("merge").join(right.where(~hot), keys))
 
 
 def held_out(column, modulus: int):
@@ -105,27 +142,32 @@ def held_out(column, modulus: int):
 def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(id, component) for each end of undirected `edges` (a, b), component being the smallest id reachable.
 
-    Alternates the large-star and small-star contractions; each round is written
-    to the shared folder.  Nothing is collected but the row count and a checksum
-    of the edge set, which tell when it no longer changes.
+    Alternates the large-star and small-star contractions.  A round is one job that
+    writes its edges to the shared folder; a count and a checksum, observed as they
+    are written, tell when they no longer change.  Rows are joined by sort and merge
+    at every size, so the driver never holds any.
     """
-    known = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
-    )
-    state = known.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    size = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x"))
+
+    def kept(pairs: DataFrame, outer: bool) -> tuple[DataFrame, dict]:
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        ordered = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        return cut(ordered, name, outer, seen, *size), seen.get
+
+    known, state = kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), True)
     for _ in range(rounds):
+        if not state["n"]:
+            break
         both = known.union(known.select("v", "u").toDF("u", "v"))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.hint("merge").join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.hint("merge").join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        following = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, outer=True)
-        now = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        known = following
-        if now == state:
+        before = state
+        known, state = kept(small, True)
+        if state == before:
             break
-        state = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = known.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
