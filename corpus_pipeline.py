@@ -7,7 +7,7 @@ documents; the last one adds mix_taken, the words that the mix takes of each row
 from __future__ import annotations
 
 from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from tidemark.llm.shared import cut, table
+from tidemark.llm.shared import delete, fresh_path, own, scratch, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -43,12 +43,20 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No SQL: trained network and hashed windows; tests hold each stage against brute force.
+#: No SQL: SQL can express neither the trained network nor the templates; tests hold each stage against a brute-force version of its decisions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    """STAGES applied to documents; what a stage needed goes once its rows are written, and its rows once the next stage's are.
+
+    The last stage's tables stay for the result; shared.sweep() deletes them."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            path = own(fresh_path(spark, name), outer=True)
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        delete(spark, before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
