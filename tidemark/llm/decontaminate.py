@@ -48,16 +48,21 @@ FUNCTION = (
 
 
 def templated(text: Column) -> Column:
-    """Words of the template, one for each word of literal(text)."""
+    """Words with numbers and names as placeholders, one for each word of literal(text)."""
     edge = r"[^\p{L}\p{N}\s]*"
     t = F.regexp_replace(text, f"[{SLOTS}]", "")
     t = F.regexp_replace(t, rf"(?<!\S){edge}\p{{N}}[\p{{N}}.,:/]*(?:\p{{L}}{{1,3}})?{edge}(?!\S)", NUMBER)
-    t = F.regexp_replace(t, rf"(?i)(?<=\s){edge}(?:{'|'.join(UNITS)}){edge}(?!\S)", UNIT)
-    t = F.regexp_replace(t, rf"(?<!\S){edge}(?!(?:{'|'.join(FUNCTION)})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\S*", NAME)
+    # Units come before names, so a unit's name is one whatever its case; they are set word by word, below.
+    t = F.regexp_replace(t, rf"(?<!\S){edge}(?=\p{{Lu}})(?!(?:{'|'.join(FUNCTION)})(?![\p{{L}}\p{{N}}]))\S+", NAME)
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}\s{SLOTS}]+", "")
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
+def with_units(words: Column, plain: Column) -> Column:
+    """templated() words, those whose literal word is a unit, but for the first, being its placeholder."""
+    return F.transform(words, lambda w, i: F.when((i > 0) & (w != NUMBER) & F.get(plain, i).isin(UNITS), UNIT).otherwise(w))
+
+
 def literal(text: Column) -> Column:
     """The words themselves, case-folded, without punctuation."""
     t = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", "")
@@ -74,46 +79,70 @@ def units(words: Column) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(~F.coalesce(goes_on(w, i), F.lit(False)), i)), lambda i: i.isNotNull())
 
 
-def values_of(plain: Column, starts: Column) -> Column:
-    """The literal words of each template unit."""
-    return F.transform(starts, lambda i, k: F.array_join(F.slice(plain, i + 1, F.coalesce(F.get(starts, k + 1), F.size(plain)) - i), " "))
+def value_hash(plain: Column, starts: Column, k: Column) -> Column:
+    """Hash of the literal words of template unit k, of hashed words."""
+    at = F.get(starts, k)
+    return F.xxhash64(F.slice(plain, at + 1, F.coalesce(F.get(starts, k + 1), F.size(plain)) - at))
+
+
+def window_hash(hashes: Column, k: Column, width: int, family: Column) -> Column:
+    """Hash of the `width` words from place k on; windows of template units (family 1) and of literal words (0) do not meet."""
+    return F.xxhash64(family, *[F.get(hashes, k + i) for i in range(width)])
+
+
+def windows(rows: DataFrame, keep: list[str], widths: list[int]) -> tuple[DataFrame, Column]:
+    """(rows, values): a row keep, p, k, w, ... for each window of the `widths`, of both families, of the texts in shaped() rows; k is its place and p its first literal word.
 
+    values, a column to be made of the rows that are wanted, holds the hashed literal words of each unit of a template window; it is null for other windows.
+    The windows are numbers until a row is theirs, so hashing them is compiled code and no array of windows is built."""
+    hashed = rows.select(*keep, "starts", *[F.transform(c, lambda w: F.xxhash64(w)).alias(c) for c in ("plain", "words")])
 
-def windows(words: Column, starts: Column, width: int) -> Column:
-    """Array of (p, k, w): hash w of each window of `width` words, k its place and p = starts[k]; empty for shorter texts."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    window = lambda h, i: F.struct(F.get(h["s"], i).alias("p"), i.alias("k"), F.xxhash64(F.slice(h["x"], i + 1, width)).alias("w"))
-    # The one-element outer array binds the hashes once for all windows.
-    return F.flatten(
-        F.transform(
-            F.array(F.struct(hashed.alias("x"), starts.alias("s"))),
-            lambda h: F.when(F.size(h["x"]) >= width, F.transform(F.sequence(F.lit(0), F.size(h["x"]) - width), lambda i: window(h, i))).otherwise(F.array().cast("array<struct<p:int,k:int,w:bigint>>")),
-        )
-    )
+    def numbers(words: str, family: int, width: int) -> Column:
+        first, places = 16 * family + width, F.size(words) - width
+        return F.when(places >= 0, F.sequence(F.lit(first).cast("long"), F.lit(first) + 32 * places.cast("long"), F.lit(32).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.concat(*[numbers(c, f, width) for width in widths for f, c in enumerate(("plain", "words"))])
+    placed = hashed.select("*", F.explode(every).alias("x"))
+    k, family, size = F.shiftright("x", 5).cast("int"), F.shiftright(F.col("x").bitwiseAND(F.lit(16)), 4).cast("int"), F.col("x").bitwiseAND(F.lit(15))
+    placed = placed.select(*keep, "starts", "plain", k.alias("k"), family.alias("family"), size.alias("size"), F.when(family == 1, F.col("words")).otherwise(F.col("plain")).alias("hashes"))
+    w = None
+    for width in widths:
+        found = window_hash(F.col("hashes"), F.col("k"), width, F.col("family"))
+        w = found if len(widths) == 1 else F.when(F.col("size") == width, found) if w is None else w.when(F.col("size") == width, found)
+    p = F.when(F.col("family") == 1, F.get("starts", F.col("k"))).otherwise(F.col("k"))
+    values = F.when(F.col("family") == 1, F.array(*[value_hash(F.col("plain"), F.col("starts"), F.col("k") + i) for i in range(max(widths))]))
+    return placed.select(*keep, p.alias("p"), "k", w.alias("w"), "family", "plain", "starts"), values
 
 
 def shaped(rows: DataFrame, text: Column) -> DataFrame:
     """rows with plain (literal words), starts (of template units) and words (template units)."""
-    out = rows.withColumn("raw", templated(text)).withColumn("plain", literal(text)).withColumn("starts", units(F.col("raw")))
+    out = rows.withColumn("raw", templated(text)).withColumn("plain", literal(text))
+    out = out.withColumn("raw", with_units(F.col("raw"), F.col("plain"))).withColumn("starts", units(F.col("raw")))
     return out.withColumn("words", F.transform("starts", lambda i: F.get("raw", i))).drop("raw")
 
 
+SLOTS_TYPE = "array<struct<i:int,kind:string,a:bigint>>"
+
+
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(w, item_id, item_words, item_units, width, a, b, ua, ub, kq): windows of each item; items shorter than WIDTH are one window of their own width.
+    """(w, item_id, item_words, item_units, width, a, b, ua, ub, slots): windows of each item; items shorter than WIDTH are one window of their own width.
 
-    [a, b) are the literal words of the window, [ua, ub) its template units.  kq: the first unit of a template window, null for one of literal words."""
+    [a, b) are the literal words of the window, [ua, ub) its template units.  slots: place, kind and hashed value of the placeholders of a template window, null for one of literal words."""
     held = items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("item_id is not null")
     held = shaped(held, F.col("t")).withColumn("item_words", F.size("plain")).withColumn("item_units", F.size("words")).where("item_words > 0")
-    hashed = lambda c: F.xxhash64(F.transform(c, lambda w: F.xxhash64(w))).alias("w")
+    hashed = lambda c, family: F.xxhash64(F.lit(family), F.transform(c, lambda w: F.xxhash64(w))).alias("w")
     ids = ["item_id", "item_words", "item_units", "width"]
     unit_of = lambda i: F.size(F.filter("starts", lambda s: s <= i)) - 1
     same = held.withColumn("width", F.least("item_words", F.lit(WIDTH))).select("*", F.explode(F.expr("sequence(0, item_words - width)")).alias("a")).withColumn("b", F.col("a") + F.col("width"))
-    same = same.select(hashed(F.expr("slice(plain, a + 1, width)")), *ids, "a", "b", unit_of(F.col("a")).alias("ua"), (unit_of(F.col("b") - 1) + 1).alias("ub"), F.lit(None).cast("int").alias("kq"))
+    same = same.select(hashed(F.expr("slice(plain, a + 1, width)"), 0), *ids, "a", "b", unit_of(F.col("a")).alias("ua"), (unit_of(F.col("b") - 1) + 1).alias("ub"), F.lit(None).cast(SLOTS_TYPE).alias("slots"))
     part = held.withColumn("width", F.least("item_units", F.lit(WIDTH))).select("*", F.explode(F.expr("sequence(0, item_units - width)")).alias("ua")).withColumn("part", F.expr("slice(words, ua + 1, width)"))
     literals = F.size(F.filter("part", lambda w: ~w.isin(NUMBER, UNIT, NAME)))
     part = part.where((literals >= F.least("item_words", F.lit(WIDTH)) * LEAST_LITERAL) & (literals < F.col("width")))  # without placeholders, it is one of the others
     behind = F.expr("coalesce(get(starts, ua + width), item_words)")
-    part = part.select(hashed("part"), *ids, F.expr("get(starts, ua)").alias("a"), behind.alias("b"), "ua", (F.col("ua") + F.col("width")).alias("ub"), F.col("ua").alias("kq"))
+    words = F.transform("plain", lambda w: F.xxhash64(w))
+    slot = lambda j: F.struct(j.alias("i"), F.get("part", j).alias("kind"), value_hash(words, F.col("starts"), F.col("ua") + j).alias("a"))
+    slots = F.filter(F.transform(F.sequence(F.lit(0), F.col("width") - 1), slot), lambda x: x["kind"].isin(NUMBER, UNIT, NAME)).cast(SLOTS_TYPE)
+    part = part.select(hashed("part", 1), *ids, F.expr("get(starts, ua)").alias("a"), behind.alias("b"), "ua", (F.col("ua") + F.col("width")).alias("ub"), slots.alias("slots"))
     return same.unionByName(part).distinct()
 
 
@@ -138,50 +167,34 @@ def contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", it
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").alias("t")).where("t is not null")
     worded = shaped(own, F.col("t")).drop("t")
     # Texts are read and shaped once for the windows of all widths; hashes of different widths do not meet.
-    every = F.transform("plain", lambda w, i: i)
-    places = F.concat(*[windows(words, starts, width) for width in widths for words, starts in ((F.col("words"), F.col("starts")), (F.col("plain"), every))])
-    span = F.struct("a", "b", "ua", "ub", "kq", F.when(F.col("kq").isNotNull(), F.col("k")).alias("k"))
-    found = worded.select("doc_id", "th", F.explode(places).alias("x")).select("doc_id", "th", "x.*").join(F.broadcast(bench) if small else bench.hint("merge"), "w")
+    places, values = windows(worded, ["doc_id", "th"], widths)
+    if small:
+        found = places.join(F.broadcast(bench), "w").withColumn("values", values)
+    else:
+        found = places.select("doc_id", "th", "p", "k", "w", values.alias("values")).join(bench.hint("merge"), "w")
+    pairs = F.transform("slots", lambda x: F.struct(x["kind"].alias("kind"), x["a"].alias("a"), F.get("values", x["i"]).alias("b")))
+    span = F.struct("a", "b", "ua", "ub", F.col("slots").isNull().alias("literal"), F.coalesce(pairs, F.array().cast("array<struct<kind:string,a:bigint,b:bigint>>")).alias("pairs"))
     hits = found.select("doc_id", "th", "item_id", "item_words", "item_units", (F.col("p") - F.col("a")).alias("diagonal"), span.alias("span"))
     key = ["doc_id", "th", "item_id", "item_words", "item_units"]
-    runs = hits.groupBy(*key, "diagonal").agg(F.collect_set("span").alias("spans"))
+    runs = cut(hits.groupBy(*key, "diagonal").agg(F.collect_set("span").alias("spans")), "runs")
     # Runs count by themselves, and neighbouring ones together.
     along = Window.partitionBy(*key).orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT).cast("int"), F.lit(0))
     chains = runs.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(along))
     chains = chains.groupBy(*key, "chain").agg(F.count("*").alias("c"), F.flatten(F.collect_list("spans")).alias("spans"), F.min("diagonal").alias("diagonal")).where("c > 1")
-    groups = runs.withColumn("joint", F.lit(False)).unionByName(chains.select(*key, "diagonal", "spans", F.lit(True).alias("joint")))
-    alone = F.filter("spans", lambda x: x["kq"].isNull())
+    groups = runs.unionByName(chains.select(*key, "diagonal", "spans")).where(consistent(F.flatten(F.transform("spans", lambda x: x["pairs"]))))
+    alone = F.filter("spans", lambda x: x["literal"])
     least = lambda n: F.least(F.lit(NEED_WORDS), F.ceil(F.col(n) / 2))
     groups = groups.where((covered(alone, "a", "b") >= least("item_words")) | (covered(F.col("spans"), "ua", "ub") >= least("item_units")))
-    strong = cut(groups.withColumn("matched_words", covered(F.col("spans"), "a", "b")), "runs")
-    checked = consistent(strong, own, items, item_id, item_text)
-    return checked.groupBy("doc_id", "th", "item_id").agg(F.max("matched_words").cast("long").alias("matched_words"), F.max("item_words").cast("long").alias("item_words"))
-
-
-def consistent(runs: DataFrame, own: DataFrame, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """The runs whose placeholder values correspond one to one."""
-    key = ["doc_id", "th", "item_id", "diagonal", "joint"]
-    slotted = shaped(items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("t")), F.col("t"))
-    slotted = slotted.select("item_id", F.col("words").alias("it"), values_of(F.col("plain"), F.col("starts")).alias("iv"))
-    # Template windows that matched.
-    asked = cut(runs.select(*key, F.explode(F.filter("spans", lambda x: x["kq"].isNotNull())).alias("x")).select(*key, "x.kq", "x.ub", "x.k").join(slotted, "item_id"), "slots")
-    whose = asked.select(F.col("doc_id").alias("d"), F.col("th").alias("h")).distinct()
-    texts = own.join(whose, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left_semi").dropDuplicates(["doc_id", "th"]).toDF("d", "h", "t")
-    texts = shaped(texts, F.col("t")).select("d", "h", values_of(F.col("plain"), F.col("starts")).alias("dv"))
-    pairs = asked.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
-    pair = lambda i: F.struct(F.get("it", i).alias("kind"), F.get("iv", i).alias("a"), F.get("dv", i - F.col("kq") + F.col("k")).alias("b"))
-    values = pairs.select(*key, F.explode(F.transform(F.sequence("kq", F.col("ub") - 1), pair)).alias("x")).select(*key, "x.*").where(F.col("kind").isin(NUMBER, UNIT, NAME))
-    one = values.groupBy(*key, "kind", "a").agg(F.count_distinct("b").alias("k"))
-    other = values.groupBy(*key, "kind", "b").agg(F.count_distinct("a").alias("k"))
-    clash = one.unionByName(other.withColumnRenamed("b", "a")).where("k > 1").select(*key).distinct()
-    names = [c + "_x" for c in key]
-    clash = clash.toDF(*names)
-    on = None
-    for c, n in zip(key, names, strict=True):
-        same = runs[c].eqNullSafe(clash[n])
-        on = same if on is None else on & same
-    return runs.join(clash, on, "left_anti")
+    strong = groups.withColumn("matched_words", covered(F.col("spans"), "a", "b"))
+    return strong.groupBy("doc_id", "th", "item_id").agg(F.max("matched_words").cast("long").alias("matched_words"), F.max("item_words").cast("long").alias("item_words"))
+
+
+def consistent(pairs: Column) -> Column:
+    """Whether values of the item and of the document, (kind, a, b), correspond one to one."""
+    distinct = F.array_distinct(pairs)
+    sides = [F.array_distinct(F.transform(distinct, lambda x: F.struct(x["kind"], x[side]))) for side in "ab"]
+    return (F.size(sides[0]) == F.size(distinct)) & (F.size(sides[1]) == F.size(distinct))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
