@@ -3,12 +3,13 @@ import random
 import duckdb
 import pytest
 
+from tidemark import cli
 from tidemark.functions import bounds, codec
-from tidemark.model import CommitConflict, Corruption, InvalidConfig, KeyNotFound, KeyTooLarge
-from tidemark.operators import maintain, reads
+from tidemark.model import CommitConflict, Corruption, InvalidConfig, KeyNotFound, KeyTooLarge, StoreClosed, UnknownProperty, WriteStall
+from tidemark.operators import algos, maintain, reads
 from tidemark.plans import catalogue
-from tidemark.sources.framed_log import read_framed_log, read_text_run, read_timed_log
-from tidemark.sources.store import Store
+from tidemark.sources.framed_log import list_fragments, read_framed_log, read_text_run, read_timed_log, write_text_run
+from tidemark.sources.store import Config, Store
 from tidemark.streaming.ingest import ingest, latest_view
 
 
@@ -19,7 +20,7 @@ def normal(v):
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "events", "documents"):
+    for t in ("customer", "orders", "events", "documents", "nation"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = catalogue.queries()[name](spark, sf)
     columns = sorted(df.columns)
@@ -96,7 +97,9 @@ def test_framing_and_records(spark, tmp_path):
     rows = sorted(read_framed_log(spark, str(tmp_path / "wal")).collect(), key=lambda r: r.seq)
     assert [(r.seq, r.op, bytes(r.k), r.v if r.v is None else bytes(r.v)) for r in rows] == [(4, "put", b"k\t", b""), (5, "put", b"u:1", b"alice"), (6, "delete", b"u:3", None)]
     (tmp_path / "wal-7").write_bytes(codec.frame([codec.encode_timed(100, False, b"k1", b"v1")]))
-    assert [(r.pos, bytes(r.k)) for r in read_timed_log(spark, str(tmp_path / "wal-7")).collect()] == [(0, b"k1")]
+    assert [(r.pos.segment, r.pos.i, bytes(r.k)) for r in read_timed_log(spark, str(tmp_path / "wal-7")).collect()] == [(7, 0, b"k1")]
+    (tmp_path / "big.log").write_bytes(framed)
+    assert [(r.position, r.type) for r in list_fragments(spark, str(tmp_path / "big.log")).orderBy("position").collect()] == [(0, 2), (32768, 3), (65536, 3), (98304, 4)]
     (tmp_path / "run.txt").write_text("RUN 1 1 0\n7\t0\ta\tx\n8\t1\tb\t\n\n")
     assert [tuple(r) for r in read_text_run(spark, str(tmp_path / "run.txt"), "RUN").orderBy("k").collect()] == [("a", 7, False, "x"), ("b", 8, True, None)]
     (tmp_path / "bad.txt").write_text("RUN 1 9 0\n")
@@ -124,8 +127,9 @@ def test_store(spark, tmp_path):
         store.get("fine")
     store.delete("user:009")
     store.checkpoint(f"file://{tmp_path}/copy")
+    store.flush()
     assert store.compact(0) and [(r.k, r.v) for r in store.scan().collect()] == expected[:2]
-    assert len(store.vacuum()) == 4 and store.doctor()["repeated_seq"] == 0 and store.stats()["runs"] == 1
+    assert store.vacuum() == [] and len(store.vacuum(-1)) == 1 and store.doctor()["repeated_seq"] == 0 and store.stats()["runs"] == 1
     copy = Store.open(spark, f"file://{tmp_path}/copy")
     assert [(r.k, r.v) for r in copy.scan().collect()] == expected[:2]
     for bad in ("", f"file://{tmp_path}/../x", f"file://{tmp_path}/copy"):
@@ -144,3 +148,165 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("op string, k string, v string, ord bigint").json(str(folder)).selectExpr("k", "ord as seq", "op = 'delete' as tomb", "v")
     latest_view(stream).writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.k, r.tomb) for r in spark.table("latest").collect()) == [("a", True), ("b", False)]
+
+
+def rows_of(spark, ops):
+    return spark.createDataFrame([(op, k, v, i) for i, (op, k, v) in enumerate(ops)], "op string, k string, v string, ord bigint")
+
+
+def test_a_stream_batch_that_failed_is_written_when_it_comes_again(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    with pytest.raises(InvalidConfig):
+        store.write_batch(rows_of(spark, [("put", None, "x")]), ("q", 0))
+    for _ in range(2):
+        store.write_batch(rows_of(spark, [("put", "a", "1")]), ("q", 0))
+    store.write_batch(rows_of(spark, []), ("q", 1))
+    again = Store.open(spark, store.path)
+    assert again.snapshot() == 1 and again.manifest["streams"] == {"q": 1}
+
+
+def test_one_of_two_writers_commits(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    first, second = Store.open(spark, path), Store.open(spark, path)
+    first.write_batch(rows_of(spark, [("put", "a", "1")]))
+    with pytest.raises(CommitConflict):
+        second.write_batch(rows_of(spark, [("put", "a", "2")]))
+    assert Store.open(spark, path).get("a") == "1" and not [p for p in (tmp_path / "s").glob(".staged*")]
+
+
+def test_replay_rotation_and_damage(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store = Store.open(spark, path, Config(memtable_max_bytes=40))
+    store.put("k1", "v1")
+    store.write_batch([("put", "k2", "v2"), ("delete", "k1", None)])
+    again = Store.open(spark, path)
+    assert again.snapshot() == 3 and [(r.k, r.v) for r in again.scan().collect()] == [("k2", "v2")] and again.stats()["runs"] == 0
+    store.put("k3", "x" * 40)  # fills the memtable
+    assert store.memory == [] and store.counts["flush"] == 1 and not list((tmp_path / "s" / "log").glob("0*.log"))
+    store.put("k4", "v4")
+    log = next((tmp_path / "s" / "log").glob("0*.log"))
+    content = log.read_bytes()
+    log.write_bytes(content[:9] + b"\xff" + content[10:])
+    (tmp_path / "s" / "log" / f".{log.name}.crc").unlink(missing_ok=True)
+    assert store.doctor()["bad_log"] == 1
+    with pytest.raises(Corruption):
+        Store.open(spark, path)
+    log.write_bytes(content)
+    for f in (tmp_path / "s" / "data").rglob("*.parquet"):
+        f.unlink()
+    with pytest.raises(Corruption):
+        Store.open(spark, path)
+    store.close()
+    store.close()
+    for call in (store.doctor, store.stats, store.vacuum, lambda: store.put("a", "b"), lambda: store.hold_snapshot("x")):
+        with pytest.raises(StoreClosed):
+            call()
+
+
+def test_snapshots_are_held_by_name(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    store.put("a", "1")
+    one = store.hold_snapshot("one")
+    store.put("a", "2")
+    two = store.hold_snapshot("two")
+    store.delete("a")
+    store.flush()
+    store.compact(0)
+    assert store.get("a", one) == "1" and store.get("a", two) == "2"
+    store.release_snapshot("one")
+    assert store.get("a", two) == "2"
+    store.release_snapshot("two")
+    store.put("b", "1")
+    store.flush()
+    store.compact(0)
+    store.compact(1)
+    with pytest.raises(InvalidConfig):
+        store.get("a", one)
+    with pytest.raises(KeyNotFound):
+        store.get("a")
+
+
+def test_backpressure_and_configuration(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/s", Config(auto_compact=False, slowdown_l0_files=1, stop_l0_files=2))
+    for k in "ab":
+        store.write_batch(rows_of(spark, [("put", k, k)]))
+    assert store.property("engine.stall.state") == "stop" and store.property("engine.metrics.stall.count") == 1
+    with pytest.raises(WriteStall):
+        store.put("c", "c")
+    store.compact(0)
+    store.put("c", "c")
+    for bad in (Config(memtable_max_bytes=0), Config(slowdown_l0_files=13), Config(compaction_rate_bytes_per_sec=0)):
+        with pytest.raises(InvalidConfig):
+            Store.open(spark, f"file://{tmp_path}/t", bad)
+    for path in ("", f"file://{tmp_path}/../t"):
+        with pytest.raises(InvalidConfig):
+            Store.open(spark, path)
+
+
+def test_properties(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    store.put("a", "1")
+    store.delete("b")
+    store.get("a")
+    found = store.properties()
+    assert len(found) == 44 and found["engine.metrics.put.count"] == found["engine.metrics.get.hit.count"] == 1 and found["engine.memtable.bytes"] == 3
+    assert found["engine.metrics.wal.bytes"] == 15 + 2 + 15 + 1 and found["engine.metrics.latency.put.p50_us"] > 0 and found["engine.metrics.latency.scan.p99_us"] == 0
+    with pytest.raises(UnknownProperty):
+        store.property("engine.nothing")
+
+
+def test_bytes_are_ordered_as_such(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/s", binary=True)
+    keys = [b"\xff\xff", b"\x7f", b"\xff", b"a\0", b"a", b"\xff\x00"]
+    for k in keys:
+        store.put(k, k)
+    assert [bytes(r.k) for r in store.scan().collect()] == sorted(keys)
+    store.flush()
+    assert [bytes(r.k) for r in store.scan_prefix(b"\xff").collect()] == [b"\xff", b"\xff\x00", b"\xff\xff"]
+    assert [bytes(r.k) for r in store.scan(b"a", b"a\0").collect()] == [b"a"] and store.get(b"a\0") == b"a\0"
+    with pytest.raises(InvalidConfig):
+        Store.open(spark, store.path, binary=False)
+
+
+def test_text_runs_round_trip(spark, tmp_path):
+    rows = log(spark, [("b", 2, True, None), ("a", 1, False, "x"), ("c", 3, False, "")])
+    write_text_run(rows, str(tmp_path / "run"), "RUN", 1)
+    assert sorted(map(tuple, read_text_run(spark, str(tmp_path / "run"), "RUN").collect())) == [("a", 1, False, "x"), ("b", 2, True, None), ("c", 3, False, "")]
+    (tmp_path / "run" / "part-9.txt").write_text("9\t0\tz\tz\n")
+    with pytest.raises(Corruption):
+        read_text_run(spark, str(tmp_path / "run"), "RUN")
+
+
+def test_segments_in_the_order_of_their_numbers(spark, tmp_path):
+    for n, key in ((10, b"late"), (9, b"early")):
+        (tmp_path / f"wal-{n}").write_bytes(codec.frame([codec.encode_timed(n, False, key, b"")]))
+    rows = read_timed_log(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [bytes(r.k) for r in rows] == [b"early", b"late"]
+
+
+def test_cycles_of_a_large_graph_are_found_with_short_plans(spark):
+    n = 3000
+    edges = spark.range(n).selectExpr("id as waiter", "if(id % 1000 = 999, id - 999, id + 1) as owner")
+    found = algos.cycles(edges)
+    assert sorted(map(tuple, found.collect())) == [(999, 1000), (1999, 1000), (2999, 1000)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    def call(*argv):
+        code = cli.main([argv[0], "--path", f"file://{tmp_path}/s", *argv[1:]], spark)
+        out = capsys.readouterr()
+        return code, out.out.strip(), out.err.strip()
+
+    assert call("open") == (0, "open ok", "") and call("open", "--json")[1] == '{"ok":true}'
+    assert call("put", "--key", "user:1", "--value", "é") == (0, "ok", "")
+    assert call("put", "--json", "--key", "user:2", "--value", "b")[1] == '{"ok":true,"op":"put"}'
+    assert call("get", "--key", "user:1")[1] == "é" and call("get", "--json", "--key", "user:1")[1] == '{"key":"user:1","value":"é"}'
+    assert call("delete", "--key", "user:2")[1] == "ok"
+    assert call("scan", "--prefix", "user:")[1] == "user:1\té" and call("scan", "--json", "--start", "a", "--end", "z")[1] == '[{"key":"user:1","value":"é"}]'
+    assert "next_sequence=4" in call("stats")[1] and call("doctor")[1] == "doctor ok"
+    assert call("property", "--name", "engine.l0.files")[1] == "0"
+    for bad in (("get", "--key", "none"), ("scan", "--end", "z"), ("scan", "--prefix", "a", "--start", "b"), ("scan", "--start", "b", "--end", "a"), ("put", "--key", "a"), ("property", "--name", "x"), ("nothing",)):
+        code, out, err = call(*bad)
+        assert code == 1 and out == "" and err.startswith("error:"), bad
+    assert call("get", "--json", "--key", "none")[2] == '{"ok": false, "error": "KeyNotFound"}'

@@ -1,10 +1,7 @@
-"""Schemas of the versioned key-value model."""
+"""Limits and errors of the versioned key-value model."""
 
 from __future__ import annotations
 
-LOG = "seq bigint, ts timestamp, op string, k string, v string"
-RUN = "k string, seq bigint, tomb boolean, v string"
-FILEMETA = "level int, run bigint, rows bigint, bytes bigint, min_k string, max_k string"
 MAX_LEVELS = 7
 
 
@@ -38,5 +35,9 @@ class StoreClosed(StoreError):
     kind = "retryable"
 
 
+class UnknownProperty(StoreError):
+    pass
+
+
 class WriteStall(StoreError):
     kind = "busy"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.bounds import file_overlaps, ranges_overlap
@@ -75,11 +75,35 @@ def stall_state(immutables: Column, l0: Column, queue_full: Column | None = None
 def restore_until(base: DataFrame, log: DataFrame, target) -> DataFrame:
     """Point-in-time restore: `log` (pos, ts, k, tomb, v) is cut before the first record with ts >= target, whatever its later times; base rows come first."""
     cut = log.where(F.col("ts") >= F.lit(target)).agg(F.min("pos").alias("cut"))
-    kept = log.join(F.broadcast(cut), F.col("cut").isNull() | (F.col("pos") < F.col("cut"))).select("k", F.col("pos").alias("seq"), "tomb", "v")
-    old = base.select("k", F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("tomb"), "v")
+    kept = log.join(F.broadcast(cut), F.col("cut").isNull() | (F.col("pos") < F.col("cut"))).select("k", F.struct(F.lit(1).alias("tier"), "pos").alias("seq"), "tomb", "v")
+    old = base.select("k", F.struct(F.lit(0).alias("tier"), F.lit(None).cast(log.schema["pos"].dataType).alias("pos")).alias("seq"), F.lit(False).alias("tomb"), "v")
     return newest(kept.unionByName(old)).where(~F.col("tomb")).select("k", "v")
 
 
 def segment_order(name: Column) -> Column:
-    """Number in wal-<number>; null for other names, which sort last."""
-    return F.expr("cast(null as bigint)") if name is None else F.try_to_number(F.regexp_extract(name, r"^wal-(\d+)$", 1), F.lit("9" * 18)).cast("bigint")
+    """Number in wal-<number>; null for other names."""
+    return F.regexp_extract(name, r"^wal-(\d{1,18})$", 1).try_cast("bigint")
+
+
+def pending_bytes(meta: DataFrame) -> DataFrame:
+    """Bytes of level 0, which wait for compaction."""
+    return meta.where("level = 0").agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"))
+
+
+def pick(meta: DataFrame, level: int) -> DataFrame:
+    """Inputs of a compaction of `level`: its oldest run and the runs of the next level whose key range meets it."""
+    source = meta.where(F.col("level") == level).orderBy("run").limit(1)  # one run, by definition
+    target = overlapping(meta.where(F.col("level") == level + 1), source)
+    return source.withColumn("role", F.lit("source")).unionByName(target.withColumn("role", F.lit("target")))
+
+
+def rotate(log: DataFrame, most: int) -> DataFrame:
+    """`log` with run: by the running size of its entries, a new run every `most` bytes.
+
+    Sums are two-level: ranges of 4096 sequence numbers are summed first, so no task sees the whole log."""
+    part = F.floor(F.col("seq") / 4096)
+    parts = log.groupBy(part.alias("part")).agg(F.sum(entry_bytes()).alias("bytes"))
+    before = parts.select("part", F.coalesce(F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.coalesce(F.sum(entry_bytes()).over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = log.withColumn("part", part).withColumn("inside", upto).join(before, "part")
+    return placed.withColumn("run", F.floor((F.col("before") + F.col("inside")) / most).cast("bigint")).drop("part", "inside", "before")

@@ -30,16 +30,88 @@ def percentiles(rows: DataFrame, by: str, us: str, shares=(("p50", 50), ("p95",
 def token_bucket(rows: DataFrame, by: str, at: str, cost: str, rate: int, burst: int, unit: int = 1) -> DataFrame:
     """Waiting of each key's requests: `burst` tokens at first, `rate` for each `unit` of time, a short request empties the bucket and waits for the rest.
 
-    The state after a request depends on all before it, so each key is one ordered fold."""
-    zero = F.struct(F.lit(burst).cast("bigint").alias("tokens"), F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("short"), F.lit(0).cast("bigint").alias("limited"))
+    tokens (left) and short (missing in all) are in parts of 1/unit token, so that
+    refills over short gaps are exact.  The state after a request depends on all
+    before it: each key is one ordered fold over sorted rows, which are streamed, so
+    a hot key takes time but no memory."""
+    kind = dict(rows.dtypes)[by]
 
-    def step(s, x):
-        tokens = F.least(F.lit(burst).cast("bigint"), s["tokens"] + F.floor(F.coalesce(x["at"] - s["last"], F.lit(0)) * rate / unit))
-        missing = F.greatest(x["cost"] - tokens, F.lit(0).cast("bigint"))
-        return F.struct(F.greatest(tokens - x["cost"], F.lit(0).cast("bigint")).alias("tokens"), x["at"].alias("last"), (s["short"] + missing).alias("short"), (s["limited"] + F.when(missing > 0, 1).otherwise(0)).alias("limited"))
+    def fold(batches):
+        import pyarrow as pa
 
-    ordered = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("n"), F.col(cost).alias("cost")))).alias("x"))
-    return ordered.select(by, F.aggregate("x", zero, step).alias("s")).select(by, "s.tokens", "s.short", "s.limited")
+        key, tokens, last, short, limited, begun = None, 0, 0, 0, 0, False
+        for batch in batches:
+            out = []
+            for k, t, _, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if not begun or k != key:
+                    if begun:
+                        out.append((key, tokens, short, limited))
+                    key, tokens, last, short, limited, begun = k, burst * unit, t, 0, 0, True
+                tokens = min(burst * unit, tokens + (t - last) * rate)
+                missing = max(0, c * unit - tokens)
+                tokens, last, short, limited = max(0, tokens - c * unit), t, short + missing, limited + (missing > 0)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], [by, "tokens", "short", "limited"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (key, tokens, short, limited)], [by, "tokens", "short", "limited"])
+
+    ordered = rows.select(by, F.col(at).cast("bigint").alias("at"), "n", F.col(cost).cast("bigint").alias("cost")).repartition(by).sortWithinPartitions(by, "at", "n")
+    return ordered.mapInArrow(fold, f"{by} {kind}, tokens bigint, short bigint, limited bigint")
+
+
+def latency_properties(rows: DataFrame, by: str = "op", us: str = "us") -> DataFrame:
+    """name, value of engine.metrics.latency.<op>.<p50|p95|p99>_us for put, delete, get and scan; 0 for an operation that did not happen."""
+    found = percentiles(rows.where(F.col(by).isin(*LATENCY_OPS)), by, us)
+    names = rows.sparkSession.createDataFrame([(o, p) for o in LATENCY_OPS for p in ("p50", "p95", "p99")], "op string, p string")
+    long = found.select(F.col(by).alias("op"), F.explode(F.create_map(*[x for p in ("p50", "p95", "p99") for x in (F.lit(p), F.col(p))])).alias("p", "value"))
+    name = F.concat(F.lit("engine.metrics.latency."), "op", F.lit("."), "p", F.lit("_us"))
+    return F.broadcast(names).join(long, ["op", "p"], "left").select(name.alias("name"), F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
+
+
+def percentile_of(ns: list[int], share: int) -> int:
+    """The bucket bound, in microseconds, at which the cumulative count of the observations reaches the share; 0 without any."""
+    counts = [0] * (len(BOUNDS) + 1)
+    for x in ns:
+        counts[next((i for i, b in enumerate(BOUNDS) if x // 1000 <= b), len(BOUNDS))] += 1
+    due, upto = max(1, -(-len(ns) * share // 100)), 0
+    for bound, n in zip((*BOUNDS, OVERFLOW), counts, strict=True):
+        upto += n
+        if ns and upto >= due:
+            return bound
+    return 0
+
+
+def stall_of(immutables: int, l0: int, config, queue_full: bool = False) -> tuple[str, str]:
+    """maintain.stall_state for Python numbers."""
+    cases = ((queue_full, "stop", "queue_full"), (l0 >= config.stop_l0_files, "stop", "l0_pressure"), (immutables >= config.stop_immutable_count, "stop", "immutable_pressure"), (l0 >= config.slowdown_l0_files, "slowdown", "l0_pressure"), (immutables >= config.slowdown_immutable_count, "slowdown", "immutable_pressure"))
+    return next(((state, reason) for when, state, reason in cases if when), ("normal", "none"))
+
+
+#: The support tier of each system on 64-bit Intel and ARM machines; other machines are experimental there, other systems unsupported.
+TIERS = {"linux": "tier1", "macos": "tier1", "freebsd": "tier2"}
+
+
+def platform() -> dict[str, int | str]:
+    """What the driver's machine is and can."""
+    import platform as here
+    import struct
+
+    os = {"darwin": "macos"}.get(here.system().lower(), here.system().lower())
+    arch = {"amd64": "x86_64", "arm64": "aarch64"}.get(here.machine().lower(), here.machine().lower())
+    bits = struct.calcsize("P") * 8
+    tier = TIERS.get(os, "unsupported") if arch in ("x86_64", "aarch64") or os not in TIERS else "experimental"
+    return {
+        "platform.os": os, "platform.arch": arch, "platform.tier": tier, "platform.pointer_bits": bits, "platform.supported": int(os in TIERS and bits >= 64),
+        "platform.checkpoint_atomic_noreplace": int(os == "linux"), "platform.checkpoint_portable_reservation": int(os != "linux"), "platform.direct_io_path": int(os in ("linux", "macos")),
+    }
+
+
+LATENCY_OPS = ("put", "delete", "get", "scan")
+
+
+def average_write_us(total_ns: Column, writes: Column) -> Column:
+    """Mean write latency: whole nanoseconds a write, then whole microseconds; 0 without writes."""
+    return F.when(writes == 0, 0).otherwise(F.floor(F.floor(total_ns / writes) / 1000)).cast("bigint")
 
 
 def properties(log: DataFrame) -> DataFrame:

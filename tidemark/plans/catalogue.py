@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import bounds, codec
 from tidemark.functions.bounds import text_prefix_end
 from tidemark.operators import algos, maintain, metrics, reads
+from tidemark.sources import framed_log
+from tidemark.sources.scratch import fresh
+from tidemark.sources.store import Config, Store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -201,8 +205,8 @@ CUT_RUNS = "run AS id, k FROM runs WHERE k < concat('user:', lpad(CAST(12 * run
 )
 def kv_file_prune(spark, sf):
     kept = runs(spark, sf).where(F.col("k") < F.concat(F.lit("user:"), F.lpad((12 * F.col("run") + 20).cast("string"), 6, "0")))
-    bounds = spark.createDataFrame([(1, "user:000100", "user:000110"), (2, "user:000050", None), (3, None, "user:000001")], "bound int, start string, end string")
-    return maintain.prune(maintain.file_meta(kept), bounds)
+    ranges = spark.createDataFrame([(1, "user:000100", "user:000110"), (2, "user:000050", None), (3, None, "user:000001")], "bound int, start string, end string")
+    return maintain.prune(maintain.file_meta(kept), ranges)
 
 
 @query(FILES + "SELECT CAST(0 AS INTEGER) AS level, run, rows FROM meta WHERE run % 4 <> 1 UNION ALL SELECT 1, max(run) + 1, CAST(sum(rows) AS BIGINT) FROM meta WHERE run % 4 = 1 HAVING count(*) > 0")
@@ -262,12 +266,12 @@ def kv_latency_percentiles(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE seen AS (SELECT user_id, epoch_ms(ts) AS t, CAST(floor(value * 100) AS BIGINT) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    """WITH RECURSIVE seen AS (SELECT user_id, epoch_us(ts) // 1000 AS t, CAST(floor(value * 100) AS BIGINT) * 2000 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     f(user_id, i, t, tokens, short, limited) AS (
-      SELECT user_id, 1, t, greatest(20000 - cost, 0), greatest(cost - 20000, 0), CAST(cost > 20000 AS BIGINT) FROM seen WHERE i = 1
+      SELECT user_id, 1, t, greatest(40000000 - cost, 0), greatest(cost - 40000000, 0), CAST(cost > 40000000 AS BIGINT) FROM seen WHERE i = 1
       UNION ALL
-      SELECT s.user_id, s.i, s.t, greatest(least(20000, tokens + (s.t - f.t) // 2000) - cost, 0), short + greatest(cost - least(20000, tokens + (s.t - f.t) // 2000), 0),
-             limited + CAST(cost > least(20000, tokens + (s.t - f.t) // 2000) AS BIGINT)
+      SELECT s.user_id, s.i, s.t, greatest(least(40000000, tokens + s.t - f.t) - cost, 0), short + greatest(cost - least(40000000, tokens + s.t - f.t), 0),
+             limited + CAST(cost > least(40000000, tokens + s.t - f.t) AS BIGINT)
       FROM f JOIN seen s ON s.user_id = f.user_id AND s.i = f.i + 1)
     SELECT user_id, CAST(arg_max(tokens, i) AS BIGINT) AS tokens, CAST(max(short) AS BIGINT) AS short, CAST(max(limited) AS BIGINT) AS limited FROM f GROUP BY user_id"""
 )
@@ -298,22 +302,82 @@ def kv_deadlock_cycles(spark, sf):
     return algos.cycles(users.select(F.col("user_id").alias("waiter"), ((F.col("user_id") * F.col("user_id") + 1) % n).alias("owner")))
 
 
+_START = "f.fin + CASE WHEN 32768 - f.fin % 32768 < 7 THEN 32768 - f.fin % 32768 ELSE 0 END"
+_FIRST = "least(size, 32768 - pos0 % 32768 - 7)"
+
+
 @query(
-    """WITH d AS (SELECT doc_id, strlen(text) AS size, CAST(ceil(strlen(text) / 32761.0) AS INTEGER) AS p FROM documents WHERE strlen(text) > 0), f AS (SELECT *, unnest(range(p)) AS i FROM d)
-    SELECT doc_id, CAST(i AS INTEGER) AS fragment, CASE WHEN p = 1 THEN 'full' WHEN i = 0 THEN 'first' WHEN i = p - 1 THEN 'last' ELSE 'middle' END AS kind, CAST(least(32761, size - i * 32761) AS BIGINT) AS length FROM f"""
+    f"""WITH RECURSIVE d AS (SELECT coalesce(lang, '') AS log, doc_id, strlen(text) AS size, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) AS i FROM documents WHERE strlen(text) > 0),
+    f(log, doc_id, size, i, pos0, fin) AS (
+      SELECT log, doc_id, size, i, pos0, CAST(pos0 + 7 + {_FIRST} + (size - {_FIRST}) + CAST(ceil((size - {_FIRST}) / 32761.0) AS BIGINT) * 7 AS BIGINT) FROM (SELECT *, CAST(0 AS BIGINT) AS pos0 FROM d WHERE i = 1)
+      UNION ALL
+      SELECT log, doc_id, size, i, pos0, CAST(pos0 + 7 + {_FIRST} + (size - {_FIRST}) + CAST(ceil((size - {_FIRST}) / 32761.0) AS BIGINT) * 7 AS BIGINT)
+      FROM (SELECT d.*, CAST({_START} AS BIGINT) AS pos0 FROM f JOIN d ON d.log = f.log AND d.i = f.i + 1)),
+    g AS (SELECT *, {_FIRST} AS head, CAST(1 + ceil((size - {_FIRST}) / 32761.0) AS INTEGER) AS p FROM f), h AS (SELECT *, unnest(range(p)) AS j FROM g)
+    SELECT log, doc_id, CAST(j AS INTEGER) AS fragment, CAST(CASE WHEN j = 0 THEN pos0 ELSE pos0 + head + 7 + (j - 1) * 32768 END AS BIGINT) AS position,
+      CASE WHEN p = 1 THEN 'full' WHEN j = 0 THEN 'first' WHEN j = p - 1 THEN 'last' ELSE 'middle' END AS kind, CAST(CASE WHEN j = 0 THEN head ELSE least(32761, size - head - (j - 1) * 32761) END AS BIGINT) AS length FROM h"""
 )
 def kv_wal_fragments(spark, sf):
-    return algos.fragments(table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("size")), "size").select("doc_id", "fragment", "kind", "length")
+    """A log of the documents of each language."""
+    records = table(spark, sf, "documents").select(F.coalesce("lang", F.lit("")).alias("log"), "doc_id", F.octet_length("text").cast("bigint").alias("size"))
+    return algos.fragments(records, "log", "doc_id", "size")
+
+
+ODD = f"{WIDE}, odd AS (SELECT translate(k, '789', 'éè€') AS k, v, block FROM wide)"
+SHARED = f"""{ODD}, p AS (SELECT *, hex(k) AS h, row_number() OVER w - 1 AS i, hex(lag(k) OVER w) AS before FROM odd WINDOW w AS (PARTITION BY block ORDER BY k)),
+    s AS (SELECT *, CASE WHEN i % 16 = 0 THEN 0 ELSE len(list_filter(range(1, strlen(k) + 1), lambda j: substr(h, 1, 2 * j) = substr(before, 1, 2 * j) AND 2 * j <= len(before))) END AS shared FROM p)"""
+
+
+def odd(spark, sf) -> DataFrame:
+    """The orders' keys with letters of two and three bytes, some of which begin with the same byte."""
+    return wide(spark, sf).withColumn("k", F.translate("k", "789", "éè€"))
 
 
 @query(
-    f"""WITH {WIDE}, p AS (SELECT *, row_number() OVER w - 1 AS i, lag(k) OVER w AS before FROM wide WINDOW w AS (PARTITION BY block ORDER BY k)),
-    s AS (SELECT *, CASE WHEN i % 16 = 0 THEN 0 ELSE len(list_filter(range(1, len(k) + 1), lambda j: substr(k, 1, j) = substr(before, 1, j))) END AS shared FROM p)
-    SELECT block, k, CAST(i AS BIGINT) AS i, CAST(shared AS INTEGER) AS shared, CAST(strlen(k) - shared AS INTEGER) AS unshared, CAST(3 + strlen(k) - shared + strlen(v) AS INTEGER) AS encoded FROM s"""
+    f"""WITH {SHARED} SELECT block, k, CAST(i AS BIGINT) AS i, CAST(shared AS INTEGER) AS shared, CAST(strlen(k) - shared AS INTEGER) AS unshared, CAST(3 + strlen(k) - shared + strlen(v) AS INTEGER) AS encoded,
+    substr(h, 2 * shared + 1) AS suffix FROM s"""
 )
 def kv_prefix_block(spark, sf):
-    out = algos.prefix_blocks(wide(spark, sf))
-    return out.select("block", "k", F.col("i").cast("bigint"), "shared", F.col("unshared").cast("int"), F.col("encoded").cast("int"))
+    out = algos.prefix_blocks(odd(spark, sf))
+    return out.select("block", "k", F.col("i").cast("bigint"), "shared", F.col("unshared").cast("int"), F.col("encoded").cast("int"), F.hex("suffix").alias("suffix"))
+
+
+@query(f"WITH {ODD} SELECT block, CAST(row_number() OVER (PARTITION BY block ORDER BY k) - 1 AS BIGINT) AS i, k FROM odd")
+def kv_prefix_decode(spark, sf):
+    return algos.prefix_decode(algos.prefix_blocks(odd(spark, sf))).select("block", "i", F.col("k").cast("string").alias("k"))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT o_orderkey * o_orderkey * 129 + o_orderkey % 200 AS x FROM orders), s AS (SELECT x, CAST(greatest(ceil(length(bin(x)) / 7.0), 1) AS INTEGER) AS size FROM n)
+    SELECT x, size, array_to_string(list_transform(range(size), lambda i: printf('%02X', ((x >> CAST(7 * i AS INTEGER)) & 127) + CASE WHEN i < size - 1 THEN 128 ELSE 0 END)), '') AS bytes, x AS back FROM s"""
+)
+def kv_varint(spark, sf):
+    n = table(spark, sf, "orders").select((F.col("o_orderkey") * F.col("o_orderkey") * 129 + F.col("o_orderkey") % 200).alias("x")).distinct()
+    packed = n.withColumn("b", bounds.varint(F.col("x")))
+    return packed.select("x", bounds.varint_size(F.col("x")).alias("size"), F.hex("b").alias("bytes"), bounds.varint_value(F.col("b")).alias("back"))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT o_custkey AS n, md5(CAST(o_custkey AS VARCHAR)) AS m FROM orders) SELECT n, CAST(('0x' || substr(m, 13, 2) || substr(m, 11, 2) || substr(m, 9, 2) || substr(m, 7, 2)) AS BIGINT) AS u32,
+    CAST(('0x' || substr(m, 3, 2) || substr(m, 1, 2)) AS BIGINT) AS u16, CAST(NULL AS BIGINT) AS beyond FROM m"""
+)
+def kv_le_integer(spark, sf):
+    m = table(spark, sf, "orders").select(F.col("o_custkey").alias("n")).distinct().withColumn("b", F.unhex(F.md5(F.col("n").cast("string").cast("binary"))))
+    return m.select("n", bounds.integer(F.col("b"), F.lit(3), 4).alias("u32"), bounds.integer(F.col("b"), F.lit(0), 2).alias("u16"), bounds.integer(F.col("b"), F.lit(14), 4).alias("beyond"))
+
+
+@query("SELECT * FROM (VALUES ('', 0), ('313233343536373839', 3808858755), ('" + "00" * 32 + "', 2324772522), ('" + "FF" * 32 + "', 1655221059), ('" + bytes(range(32)).hex().upper() + "', 1188919630)) t(bytes, crc)")
+def kv_crc32c(spark, sf):
+    """Published check values."""
+
+    def sums(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.crc32c(bytes.fromhex(x)) for x in batch.column(0).to_pylist()], pa.int64())], ["bytes", "crc"])
+
+    vectors = ["", "313233343536373839", "00" * 32, "FF" * 32, bytes(range(32)).hex().upper()]
+    return spark.createDataFrame([(v,) for v in vectors], "bytes string").mapInArrow(sums, "bytes string, crc bigint")
 
 
 @query(
@@ -388,6 +452,225 @@ def kv_typed_roundtrip(spark, sf):
     return reads.live(stored).select(F.from_json("v", fields).alias("x")).select("x.*")
 
 
+_HASH = "CAST(('0x' || substr(md5(k), {0}, 8)) AS BIGINT)"
+PROBED = f"""places AS (SELECT k, unnest(list_transform(range(7), lambda i: ({_HASH.format(1)} + i * {_HASH.format(9)}) % 2048)) AS p FROM (SELECT DISTINCT k FROM newest WHERE NOT tomb)),
+    asked AS (SELECT concat('user:', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) AS k FROM customer),
+    probed AS (SELECT k, unnest(list_transform(range(7), lambda i: ({_HASH.format(1)} + i * {_HASH.format(9)}) % 2048)) AS p FROM asked),
+    may AS (SELECT k, bool_and(p IN (SELECT p FROM places)) AS may FROM probed GROUP BY k)"""
+
+
+def customers(spark, sf) -> DataFrame:
+    return table(spark, sf, "customer").select(F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("k"))
+
+
+@query(STORE.rstrip() + ", " + PROBED + " SELECT k, may FROM may")
+def kv_bloom_probe(spark, sf):
+    """Customers whose key may be among the live keys, by a filter of 2048 bits and 7 probes."""
+    return algos.may_contain(customers(spark, sf), algos.bloom_bits(reads.live(mutlog(spark, sf)), 2048, 7), 2048, 7)
+
+
+@query(STORE.rstrip() + ", " + PROBED + " SELECT count(*) AS asked, count(*) FILTER (may) AS passed, count(*) FILTER (may AND k IN (SELECT k FROM newest WHERE NOT tomb)) AS found FROM may")
+def kv_guarded_probe(spark, sf):
+    alive = reads.live(mutlog(spark, sf))
+    return algos.guarded_probe(customers(spark, sf), alive, algos.bloom_bits(alive, 2048, 7), 2048, 7)
+
+
+@query(
+    f"""WITH {MUT}, h AS (SELECT DISTINCT k, {_HASH.format(1)} AS h FROM mutlog) SELECT k,
+    CAST(CASE WHEN h % 16384 = 0 THEN 8 WHEN h % 4096 = 0 THEN 7 WHEN h % 1024 = 0 THEN 6 WHEN h % 256 = 0 THEN 5 WHEN h % 64 = 0 THEN 4 WHEN h % 16 = 0 THEN 3 WHEN h % 4 = 0 THEN 2 ELSE 1 END AS INTEGER) AS height, CAST(h % 16 AS INTEGER) AS stripe FROM h"""
+)
+def kv_key_hashes(spark, sf):
+    return mutlog(spark, sf).select("k").distinct().select("k", algos.tower_height(F.col("k")).alias("height"), algos.stripe(F.col("k"), 16).alias("stripe"))
+
+
+@query(
+    f"""WITH RECURSIVE {MUT}, f AS (SELECT k, min(seq) AS seq, any_value({_HASH.format(1)} % 64) AS home FROM mutlog GROUP BY k), r AS (SELECT *, row_number() OVER (ORDER BY seq) AS i FROM f),
+    c(i, k, slot, used) AS (SELECT CAST(0 AS BIGINT), '', CAST(-1 AS BIGINT), CAST([] AS BIGINT[])
+      UNION ALL SELECT i, k, slot, list_append(used, slot) FROM (SELECT r.i, r.k, used, list_filter(list_transform(range(64), lambda j: (home + j) % 64), lambda x: NOT list_contains(used, x))[1] AS slot FROM c JOIN r ON r.i = c.i + 1 WHERE r.i <= 64))
+    SELECT r.k, CAST(home AS INTEGER) AS home, CAST(slot AS INTEGER) AS slot, slot IS NULL AS full FROM r LEFT JOIN (SELECT * FROM c WHERE i > 0) c ON c.i = r.i"""
+)
+def kv_cache_slots(spark, sf):
+    return algos.cache_slots(mutlog(spark, sf).select("k", "seq"), 64)
+
+
+LEVELED = """leveled AS (SELECT 1 AS level, c_custkey // 50 AS run, concat('user:', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) AS k FROM customer WHERE c_custkey % 50 < 30
+    UNION ALL SELECT 2, 1000 + c_custkey // 200, concat('user:', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) FROM customer), meta AS (SELECT level, run, min(k) AS min_k, max(k) AS max_k FROM leveled GROUP BY ALL)"""
+
+
+def leveled(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("k"))
+    first = c.where("c_custkey % 50 < 30").select(F.lit(1).alias("level"), F.expr("c_custkey div 50").alias("run"), "k")
+    rows = first.unionByName(c.select(F.lit(2).alias("level"), F.expr("1000 + c_custkey div 200").alias("run"), "k"))
+    return rows.groupBy("level", "run").agg(F.min("k").alias("min_k"), F.max("k").alias("max_k"))
+
+
+@query(f"WITH {MUT}, {LEVELED} SELECT k, level, run FROM (SELECT DISTINCT k FROM mutlog) JOIN meta ON k BETWEEN min_k AND max_k")
+def kv_level_candidate(spark, sf):
+    return algos.level_candidate(mutlog(spark, sf).select("k"), leveled(spark, sf))
+
+
+@query(
+    f"WITH {MUT}, {LEVELED}, s AS (SELECT * FROM meta WHERE level = 1 ORDER BY run LIMIT 1) SELECT *, 'source' AS role FROM s UNION ALL SELECT m.*, 'target' FROM meta m, s WHERE m.level = 2 AND m.max_k >= s.min_k AND s.max_k >= m.min_k"
+)
+def kv_compaction_pick(spark, sf):
+    return maintain.pick(leveled(spark, sf), 1)
+
+
+@query(FILES + "SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM meta WHERE run % 3 = 0")
+def kv_pending_bytes(spark, sf):
+    return maintain.pending_bytes(maintain.file_meta(runs(spark, sf)).withColumn("level", F.expr("if(run % 3 = 0, 0, 1)")))
+
+
+@query(f"WITH {MUT}, r AS (SELECT k, seq, CAST(coalesce(sum(strlen(k) + coalesce(strlen(v), 0)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 16384 AS run FROM mutlog) SELECT run, count(*) AS n, max(seq) AS last FROM r GROUP BY run")
+def kv_rotation(spark, sf):
+    return maintain.rotate(mutlog(spark, sf), 16384).groupBy("run").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+LOCKS = """u AS (SELECT DISTINCT user_id AS t FROM events), n AS (SELECT count(*) AS n FROM u), owners AS (SELECT t AS k, (t * 7 + 3) % n AS owner FROM u, n WHERE t % 5 <> 0),
+    waiting AS (SELECT t AS waiter, t + 5 AS owner FROM u, n WHERE t % 4 <> 0 AND t + 5 < n), requests AS (SELECT DISTINCT t AS txn, (t * j + 2) % n AS k FROM u, n, range(1, 12) r(j) WHERE t % 4 = 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {LOCKS}, asked AS (SELECT txn, r.k, o.owner FROM requests r LEFT JOIN owners o ON o.k = r.k),
+    walk(txn, k, node, top) AS (SELECT txn, k, owner, greatest(txn, owner) FROM asked WHERE owner <> txn UNION ALL SELECT txn, k, w.owner, greatest(top, w.owner) FROM walk JOIN waiting w ON w.waiter = node WHERE node <> txn),
+    closed AS (SELECT txn, k, top FROM walk WHERE node = txn)
+    SELECT a.txn, a.k, CASE WHEN a.owner IS NULL THEN 'granted' WHEN a.owner = a.txn THEN 'reentrant' WHEN top = a.txn THEN 'deadlock' ELSE 'blocked' END AS outcome, top AS victim FROM asked a LEFT JOIN closed c ON c.txn = a.txn AND c.k = a.k"""
+)
+def kv_lock_outcomes(spark, sf):
+    u = table(spark, sf, "events").select(F.col("user_id").alias("t")).distinct().withColumn("n", F.lit(table(spark, sf, "events").agg(F.count_distinct("user_id")).first()[0]))
+    owners = u.where("t % 5 <> 0").select(F.col("t").alias("k"), F.expr("(t * 7 + 3) % n").alias("owner"))
+    waiting = u.where("t % 4 <> 0 and t + 5 < n").select(F.col("t").alias("waiter"), (F.col("t") + 5).alias("owner"))
+    requests = u.where("t % 4 = 0").select(F.col("t").alias("txn"), F.explode(F.expr("transform(sequence(1, 11), j -> (t * j + 2) % n)")).alias("k")).distinct()
+    return algos.acquire(requests, owners, waiting)
+
+
+@query(STORE + "SELECT concat_ws(chr(9), CAST(seq AS VARCHAR), CASE WHEN tomb THEN '1' ELSE '0' END, k, coalesce(v, '')) AS value FROM newest")
+def kv_text_rows(spark, sf):
+    return framed_log.text_lines(reads.newest(mutlog(spark, sf)))
+
+
+_OPS = "CASE event_type WHEN 'click' THEN 'put' WHEN 'view' THEN 'get' WHEN 'error' THEN 'delete' ELSE 'other' END"
+
+
+@query(
+    f"""WITH seen AS (SELECT {_OPS} AS op, CAST(floor(value * 400) AS BIGINT) AS us FROM events), c AS (SELECT op, {_CASE} AS bound, count(*) AS n FROM seen GROUP BY ALL),
+    u AS (SELECT *, sum(n) OVER (PARTITION BY op ORDER BY bound) AS upto, sum(n) OVER (PARTITION BY op) AS total FROM c), names AS (SELECT * FROM (VALUES ('put'), ('delete'), ('get'), ('scan')) a(op), (VALUES (50), (95), (99)) b(p))
+    SELECT concat('engine.metrics.latency.', op, '.p', p, '_us') AS name, CAST(coalesce((SELECT min(bound) FROM u WHERE u.op = names.op AND upto * 100 >= total * p), 0) AS BIGINT) AS value FROM names"""
+)
+def kv_latency_properties(spark, sf):
+    return metrics.latency_properties(table(spark, sf, "events").select(F.expr(_OPS).alias("op"), F.floor(F.col("value") * 400).alias("us")))
+
+
+@query("SELECT event_type, CAST(CASE WHEN count(*) = 0 THEN 0 ELSE sum(CAST(floor(value * 100000) AS BIGINT)) // count(*) // 1000 END AS BIGINT) AS avg_us FROM events GROUP BY event_type")
+def kv_write_latency(spark, sf):
+    ns = table(spark, sf, "events").select("event_type", F.floor(F.col("value") * 100000).alias("ns"))
+    return ns.groupBy("event_type").agg(F.sum("ns").alias("total"), F.count("*").alias("n")).select("event_type", metrics.average_write_us(F.col("total"), F.col("n")).alias("avg_us"))
+
+
+# The store: what is written to the shared folder and read back.
+
+SMALL = Config(file_bytes=1 << 14, level_base_bytes=1 << 12)
+
+
+def operations(log: DataFrame) -> DataFrame:
+    return log.select(F.when(F.col("tomb"), "delete").otherwise("put").alias("op"), "k", "v", F.col("seq").alias("ord"))
+
+
+def loaded(spark, sf, config: Config = SMALL, parts: int = 5) -> Store:
+    """The demonstration log in a store, as so many batches; level 0 is compacted on the way, into files of 16 KB."""
+    store, ops = Store.open(spark, fresh(spark, "store"), config), operations(mutlog(spark, sf))
+    total = ops.count()
+    for i in range(parts):
+        store.write_batch(ops.where(F.floor((F.col("ord") - 1) * parts / total) == i))
+    return store
+
+
+@query(SQL["kv_full_scan"])
+def kv_store_scan(spark, sf):
+    return loaded(spark, sf).scan()
+
+
+@query(SQL["kv_range_scan"])
+def kv_store_range(spark, sf):
+    return loaded(spark, sf).scan("user:000010", "user:000020")
+
+
+@query(SQL["kv_multi_get"])
+def kv_store_multi_get(spark, sf):
+    keys = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("k"))
+    return loaded(spark, sf).multi_get(keys)
+
+
+@query(f"WITH {MUT}, half AS (SELECT * FROM mutlog WHERE seq <= (SELECT count(*) // 2 FROM events)), newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM half) WHERE r = 1) SELECT k, v, seq FROM newest WHERE NOT tomb")
+def kv_store_snapshot(spark, sf):
+    """A held snapshot is read after later batches and compactions."""
+    store, ops = Store.open(spark, fresh(spark, "store"), SMALL), operations(mutlog(spark, sf))
+    half = ops.count() // 2
+    store.write_batch(ops.where(F.col("ord") <= half))
+    seq = store.hold_snapshot("half")
+    for i in range(3):
+        store.write_batch(ops.where((F.col("ord") > half) & (F.col("ord") % 3 == i)))
+    store.compact(0)
+    store.compact(1)
+    return store.scan(snapshot=seq)
+
+
+@query(SQL["kv_full_scan"])
+def kv_store_checkpoint(spark, sf):
+    copy = fresh(spark, "copy")
+    loaded(spark, sf).checkpoint(copy)
+    return Store.open(spark, copy, SMALL).scan()
+
+
+@query(SQL["kv_full_scan"])
+def kv_store_replay(spark, sf):
+    """The log in framed files, read back and replayed."""
+    folder_ = fresh(spark, "log")
+    ops = operations(mutlog(spark, sf))
+    framed_log.write_framed_log(ops.withColumnRenamed("ord", "seq"), folder_, 4).collect()  # a row a file
+    versions = framed_log.replay(framed_log.read_framed_log(spark, folder_))
+    return reads.live(versions).select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"), "seq")
+
+
+@query(SQL["kv_pitr_restore"])
+def kv_store_restore(spark, sf):
+    """Archived segments restored over a base store of bytes."""
+    log, folder_ = mutlog(spark, sf), fresh(spark, "archive")
+    framed_log.archive(log.withColumnRenamed("seq", "pos").withColumn("ts", F.col("ts").cast("timestamp")), folder_, 3).collect()  # a row a segment
+    base = Store.open(spark, fresh(spark, "base"), SMALL, binary=True)
+    base.write_batch(table(spark, sf, "customer").select(F.lit("put").alias("op"), F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).cast("binary").alias("k"), F.col("c_mktsegment").cast("binary").alias("v"), F.col("c_custkey").alias("ord")))
+    restored = Store.restore(spark, fresh(spark, "restored"), base, framed_log.read_timed_log(spark, folder_), F.to_timestamp(F.lit(RESTORE_TO)), SMALL)
+    return restored.scan().select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
+@query("SELECT concat('nation:', n_name) AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'changed' ELSE CAST(n_regionkey AS VARCHAR) END AS v, CASE WHEN n_nationkey % 5 = 0 THEN 25 + (SELECT count(*) FROM nation m WHERE m.n_nationkey % 5 = 0 AND m.n_nationkey <= n.n_nationkey) ELSE n_nationkey + 1 END AS seq FROM nation n WHERE n_nationkey % 7 <> 3")
+def kv_store_small_writes(spark, sf):
+    """Puts, overwrites and deletions of single keys, replayed from the log by another handle; a part of them was flushed."""
+    rows = sorted(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").collect())  # 25 rows
+    store = Store.open(spark, fresh(spark, "store"))
+    for r in rows:
+        store.put(f"nation:{r.n_name}", str(r.n_regionkey))
+    store.flush()
+    store.write_batch([("put", f"nation:{r.n_name}", "changed") for r in rows if r.n_nationkey % 5 == 0])
+    for r in rows:
+        if r.n_nationkey % 7 == 3:
+            store.delete(f"nation:{r.n_name}")
+    store.close()
+    return Store.open(spark, store.path).scan().select("k", "v", "seq")
+
+
+@query(f"WITH {MUT}, t AS (SELECT count(*) AS n FROM mutlog) SELECT rule, CAST(CASE WHEN rule = 'rows' THEN n ELSE 0 END AS BIGINT) AS n FROM t, (VALUES ('rows'), ('null_key'), ('tombstone_with_value'), ('repeated_seq'), ('seq_beyond_manifest'), ('missing_file'), ('file_differs'), ('bad_log')) r(rule)")
+def kv_store_doctor(spark, sf):
+    found = loaded(spark, sf, Config(auto_compact=False)).doctor()
+    return spark.createDataFrame(list(found.items()), "rule string, n bigint")
+
+
+@query(STORE + "SELECT count(*) FILTER (NOT tomb) AS keys, CAST(0 AS BIGINT) AS memory_keys, CAST(5 AS BIGINT) AS l0_runs, (SELECT max(seq) + 1 FROM mutlog) AS next_sequence FROM newest")
+def kv_store_stats(spark, sf):
+    found = loaded(spark, sf, Config(auto_compact=False)).stats()
+    return spark.createDataFrame([tuple(found[n] for n in ("keys", "memory_keys", "l0_runs", "next_sequence"))], "keys bigint, memory_keys bigint, l0_runs bigint, next_sequence bigint")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

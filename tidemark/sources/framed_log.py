@@ -1,85 +1,144 @@
-"""Readers of framed logs and tab-separated runs, as a Python data source and as text."""
+"""Framed logs, time-stamped segments and tab-separated runs: readers on any file system that Spark reads, and sinks.
+
+A file is read by one task.  The sinks write from their tasks through pyarrow, whose
+file systems are file, hdfs, s3 and gs; other schemes are refused.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions import codec
-from tidemark.model import Corruption
+from tidemark.model import Corruption, InvalidConfig
+from tidemark.operators.maintain import segment_order
 
 LOG = "path string, seq bigint, op string, k binary, v binary"
-TIMED = "path string, pos bigint, ts timestamp, tomb boolean, k binary, v binary"
+FRAGMENTS = "path string, position bigint, type int, length int"
+TIMED = "path string, i bigint, us bigint, tomb boolean, k binary, v binary"
+SINK_SCHEMES = ("file", "hdfs", "s3", "gs")
 
 
-def log_rows(path: str, data: bytes):
-    for record in codec.records(data):
-        for seq, op, k, v in codec.decode(record):
-            yield path, seq, "put" if op == codec.PUT else "delete", k, v if op == codec.PUT else None
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-class FramedLog(DataSource):
-    """format("framedlog"): operations of the binary log files under `path`, one task for each file."""
+def _decoded(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
+    def decode(batches):
+        import pandas as pd
 
-    @classmethod
-    def name(cls):
-        return "framedlog"
+        names = [x.split()[0] for x in schema.split(", ")]
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                yield pd.DataFrame([(name, *row) for row in rows_of(bytes(content))], columns=names)
 
-    def schema(self):
-        return LOG
+    return _files(spark, path).mapInPandas(decode, schema)
 
-    def reader(self, schema):
-        return FramedLogReader(self.options["path"])
 
+def read_framed_log(spark: SparkSession, path: str) -> DataFrame:
+    """(path, seq, op, k, v) of the operations in the log files under `path`; a deletion has no value."""
 
-class FramedLogReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def rows(data):
+        for record in codec.records(data):
+            for seq, op, k, v in codec.decode(record):
+                yield seq, "put" if op == codec.PUT else "delete", k, v if op == codec.PUT else None
 
-    def partitions(self):
-        from pyarrow import fs
+    return _decoded(spark, path, rows, LOG)
 
-        store, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        info = store.get_file_info(root)
-        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        return [InputPartition(f.path) for f in files if f.type == fs.FileType.File]
 
-    def read(self, partition):
-        from pyarrow import fs
+def list_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """(path, position, type, length) of each fragment, without a look at checksums."""
+    return _decoded(spark, path, lambda data: ((at, kind, len(part)) for at, kind, part in codec.fragments(data, check=False)), FRAGMENTS)
 
-        store, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        with store.open_input_file(partition.value) as stream:
-            yield from log_rows(partition.value, stream.readall())
 
-
-def read_framed_log(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(FramedLog)
-    return spark.read.format("framedlog").load(path)
+def replay(log: DataFrame) -> DataFrame:
+    """A log's operations as versions (k, seq, tomb, v)."""
+    return log.select("k", "seq", (F.col("op") == "delete").alias("tomb"), "v")
 
 
 def read_timed_log(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of time-stamped records, in order of their numbers: (path, pos, ts, tomb, k, v)."""
-    import pandas as pd
+    """Segments of time-stamped records: (path, pos, ts, tomb, k, v), pos rising in the order of the segments' numbers and then of their records."""
+    rows = _decoded(spark, path, lambda data: ((i, *codec.decode_timed(r)) for i, r in enumerate(codec.records(data))), TIMED)
+    name = F.element_at(F.split("path", "/"), -1)
+    number = F.coalesce(segment_order(name), F.lit((1 << 31) - 1))
+    return rows.select("path", F.struct(number.alias("segment"), name.alias("name"), "i").alias("pos"), F.timestamp_micros("us").alias("ts"), "tomb", "k", "v")
+
+
+def _sink(df: DataFrame, folder: str, name: str, record) -> DataFrame:
+    """One file a partition, written aside and moved into place, so that a task that runs again replaces its own; (path, records, bytes) of each."""
+    scheme = folder.split("://")[0] if "://" in folder else "file"
+    if scheme not in SINK_SCHEMES:
+        raise InvalidConfig(f"can't write to {scheme}")
+    target = folder if "://" in folder else f"file://{folder}"
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
 
-    def decode(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(path, i, *codec.decode_timed(r)) for i, r in enumerate(codec.records(content))]
-                yield pd.DataFrame(rows, columns=["path", "pos", "us", "tomb", "k", "v"])
+        task, out, n, size = TaskContext.get(), None, 0, 0
+        store, root = fs.FileSystem.from_uri(target)
+        aside, final = f"{root}/.{task.partitionId()}-{task.taskAttemptId()}", f"{root}/{name.format(task.partitionId())}"
+        for batch in batches:
+            framed = codec.frame([record(row) for row in batch.to_pylist()], size)
+            if out is None and framed:
+                store.create_dir(root, recursive=True)
+                out = store.open_output_stream(aside)
+            if framed:
+                out.write(framed)
+            n, size = n + batch.num_rows, size + len(framed)
+        if out is not None:
+            out.close()
+            store.move(aside, final)
+            yield pa.RecordBatch.from_pydict({"path": [f"{target}/{final.rpartition('/')[2]}"], "records": [n], "bytes": [size]})
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, pos bigint, us bigint, tomb boolean, k binary, v binary")
-    return raw.select("path", "pos", F.timestamp_micros("us").alias("ts"), "tomb", "k", "v")
+    return df.mapInArrow(write, "path string, records bigint, bytes bigint")
+
+
+def write_framed_log(rows: DataFrame, folder: str, files: int) -> DataFrame:
+    """Append (seq, op, k, v) to log files that follow one another by sequence; runs when the result does."""
+    ordered = rows.select("seq", "op", F.col("k").cast("binary").alias("k"), F.col("v").cast("binary").alias("v")).repartitionByRange(files, "seq").sortWithinPartitions("seq")
+    return _sink(ordered, folder, "{:020d}.log", lambda r: codec.encode(r["seq"], [(codec.PUT if r["op"] == "put" else codec.DELETE, r["k"], r["v"] or b"")]))
+
+
+def archive(rows: DataFrame, folder: str, segments: int) -> DataFrame:
+    """Write (pos, ts, tomb, k, v) as segments wal-<number> in the order of pos; runs when the result does."""
+    ordered = rows.select("pos", F.unix_micros("ts").alias("us"), "tomb", F.col("k").cast("binary").alias("k"), F.col("v").cast("binary").alias("v")).repartitionByRange(segments, "pos").sortWithinPartitions("pos")
+    return _sink(ordered, folder, "wal-{}", lambda r: codec.encode_timed(r["us"], r["tomb"], r["k"], r["v"] or b""))
 
 
 def read_text_run(spark: SparkSession, path: str, magic: str) -> DataFrame:
-    """Rows of tab-separated run files; the first line is `<magic> <major> [<minor>] <level>`, majors other than 1 or minors above 1 are refused."""
+    """Rows of tab-separated run files; each begins with `<magic> <major> [<minor>] <level>`, and majors other than 1 or minors above 1 are refused."""
     lines = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("file"))
-    heads = lines.where(F.col("value").startswith(magic))
-    bad = heads.where(~F.col("value").rlike(rf"^{magic} 1( [01])? \d+$")).head()
+    fine = F.col("value").rlike(rf"^{magic} 1( [01])? \d+$")
+    heads = lines.groupBy("file").agg(F.count_if(fine).alias("good"), F.count_if(F.col("value").startswith(magic) & ~fine).alias("other"))
+    bad = heads.where("good <> 1 or other > 0").head()
     if bad or heads.isEmpty():
-        raise Corruption(f"unsupported header {bad['value'] if bad else 'none'!r}")
+        raise Corruption(f"no supported header in {bad['file'] if bad else path}")
     parts = F.split("value", "\t", 4)
     body = lines.where(~F.col("value").startswith(magic) & (F.col("value") != ""))
     tomb = parts[1] == "1"
     return body.select(parts[2].alias("k"), parts[0].cast("bigint").alias("seq"), tomb.alias("tomb"), F.when(~tomb, parts[3]).alias("v"))
+
+
+def text_lines(rows: DataFrame) -> DataFrame:
+    """seq, tombstone, key and value as tab-separated lines, in the order of keys, as read_text_run reads them back."""
+    value = F.concat_ws("\t", F.col("seq").cast("string"), F.when(F.col("tomb"), "1").otherwise("0"), "k", F.coalesce("v", F.lit("")))
+    return rows.orderBy("k").select(value.alias("value"))
+
+
+def write_text_run(rows: DataFrame, path: str, magic: str, level: int) -> None:
+    """One run file a range of keys, each with its header."""
+    lines = rows.repartitionByRange("k").sortWithinPartitions("k")
+
+    def write(batches):
+        import pyarrow as pa
+
+        begun = False
+        for batch in batches:
+            out = [] if begun else [f"{magic} 1 1 {level}"]
+            begun = True
+            out += [f"{r['seq']}\t{int(r['tomb'])}\t{r['k']}\t{r['v'] or ''}" for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pydict({"value": out})
+
+    lines.select("seq", "tomb", "k", "v").mapInArrow(write, "value string").write.text(path)
