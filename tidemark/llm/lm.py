@@ -33,8 +33,8 @@ LAMBDA = 0.6
 BLOCKS = 256  # at least
 BLOCK_TOKENS = 1 << 22  # training tokens for each block, about; a block must fit a worker
 CHUNK_BYTES = 8 << 20  # of texts, about
-PROBES = 3
-BITS_AN_ENTRY = 6
+PROBES = 5
+BITS_AN_ENTRY = 10  # false positives: (1 - exp(-5 / 10)) ** 5 = 0.9 %
 LEVELS = 40
 HEAD = 1 << 17
 KEY_BITS = 40
@@ -232,21 +232,27 @@ class Answers:
         return self.level[np.searchsorted(self.keys, keys)]
 
 
-COUNT_OF_LEVEL = np.concatenate([[0.0], np.maximum(1.0, 1.44 * 2.0 ** np.arange(LEVELS))])
-COUNT_OF_LEVEL[1] = 1.0
+#: The least and the greatest count of each level.
+LEAST = np.concatenate([[0.0], 2.0 ** np.arange(LEVELS)])
+MOST = np.concatenate([[0.0], 2.0 ** np.arange(1, LEVELS + 1) - 1])
 
 
-def model_log10(filt: Filter | Answers, hashes: np.ndarray, starts: np.ndarray, total: int, kinds: int) -> np.ndarray:
-    """log10 probability of each token given the one before."""
+def model_log10(filt: Filter | Answers, hashes: np.ndarray, starts: np.ndarray, total: int, kinds: int, exact: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each token given the one before; `exact`: counts of the tokens where known, else 0.
+
+    Bigrams count as the least of their level and the words before them as the most
+    of theirs, so the shares of a word's successors add up to 1 at most, and so do
+    the probabilities but for the filter's false positives."""
     uni, where = np.unique(hashes, return_inverse=True)
-    uni_count = COUNT_OF_LEVEL[filt.levels(unigram_keys(uni))]
-    one = uni_count[where]
-    before = np.empty_like(one)
-    before[1:] = one[:-1]
-    end = np.searchsorted(uni, END)
-    before[starts[:-1]] = uni_count[end] if end < len(uni) and uni[end] == END else 0.0
+    level = filt.levels(unigram_keys(uni))
+    one, most = LEAST[level][where], MOST[level][where]
+    if exact is not None:
+        one, most = np.where(exact > 0, exact, one), np.where(exact > 0, exact, most)
+    before = np.empty_like(most)
+    before[1:] = most[:-1]
+    before[starts[:-1]] = most[starts[1:] - 1]  # an end stands before the first, as behind the last
     keys, back = np.unique(bigram_keys(hashes, starts), return_inverse=True)
-    two = COUNT_OF_LEVEL[filt.levels(keys)][back]
+    two = LEAST[filt.levels(keys)][back]
     floor = (one + ADD) / (total + ADD * (kinds + 1))
     share = np.minimum(two, before) / np.maximum(before, 1.0)
     return np.log10(np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * floor, floor))
@@ -275,7 +281,7 @@ def with_model(own: DataFrame, words: np.ndarray, known: np.ndarray, total: int,
             is_head = words[slot] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
             c = np.where(is_head, known[slot], 0) if len(words) else np.zeros(len(hashes))
             base = np.add.reduceat(np.where(is_head, np.log10((c + ADD) / norm), 0.0), starts[:-1])
-            model = np.add.reduceat(model_log10(filt, hashes, starts, total, kinds), starts[:-1])
+            model = np.add.reduceat(model_log10(filt, hashes, starts, total, kinds, c), starts[:-1])
             rest = np.concatenate([[0], np.cumsum(~is_head)])[starts]
             tail = pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(hashes[~is_head].view(np.int64)))
             ids = texts.slice(at, n).combine_chunks()

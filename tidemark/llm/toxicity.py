@@ -1,10 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A step's input describes a word by itself and by its characters: shrunken log-odds
-of the word and of its character 3- to 5-grams (maximum, mean, and maximum over
+A step's input describes a word by itself and by its characters, each in two ways.
+Learned: an embedding of the word, and the mean embedding of its character 3- to
+5-grams, which backpropagation trains with the rest of the network.  Counted:
+shrunken log-odds of the word and of its n-grams (maximum, mean, and maximum over
 those at the word's start), whether the word is known, and its length.  Log-odds
 come from the labelled sample; while the network is trained, each document's
-inputs come from the other folds, so that no document informs its own.
+come from the other folds, and half of all embeddings are left out at each step, so
+that no document informs its own inputs and none is known by its words alone.
 
 A text is cut into overlapping windows of WINDOW words, STRIDE apart, all of them
 are scored, and the text's score is that of its most toxic window.  Training
@@ -28,7 +31,8 @@ POSITIVES, NEGATIVES = 1000, 2000  # labelled documents that training uses at mo
 WINDOW, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS = 18, 20
 HIDDEN = 8
-INPUTS = 6
+COUNTED, EMBEDDED, EMBEDDING_BITS = 6, 4, 12
+INPUTS = COUNTED + 2 * EMBEDDED
 FOLDS, ROUNDS, STEPS, RATE, MINIBATCH = 4, 3, 150, 0.01, 256
 SHRINK = 4.0
 THRESHOLD = 0.3
@@ -98,9 +102,9 @@ def log_odds(slots_of_docs: list[np.ndarray], labels: np.ndarray, size: int) ->
 
 
 def inputs_of(tables: tuple, types, grams, bounds, lengths) -> np.ndarray:
-    """Input vectors of word types."""
+    """Counted inputs of word types."""
     word, gram = tables
-    out = np.zeros((len(types), INPUTS), dtype=np.float32)
+    out = np.zeros((len(types), COUNTED), dtype=np.float32)
     out[:, 0] = word[word_slot(types)]
     out[:, 1] = out[:, 0] != 0
     out[:, 5] = np.minimum(lengths, 30) / 10
@@ -120,6 +124,25 @@ def inputs_of(tables: tuple, types, grams, bounds, lengths) -> np.ndarray:
     return out
 
 
+def embedding_slots(types: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embeddings of words and of n-grams."""
+    return (types >> U(64 - EMBEDDING_BITS)).astype(np.int64), grams >> (GRAM_BITS - EMBEDDING_BITS)
+
+
+def ragged(bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places bounds[t] .. bounds[t + 1] - 1 of the chosen t, one after another, and for each place the rank of its t."""
+    n = bounds[chosen + 1] - bounds[chosen]
+    owner = np.repeat(np.arange(len(chosen)), n)
+    return np.arange(n.sum()) - (np.cumsum(n) - n)[owner] + bounds[chosen][owner], owner
+
+
+def embedded(e: dict, words: np.ndarray, grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Learned inputs of word types, given the slots of each and of its n-grams."""
+    n = np.maximum(np.bincount(owner, minlength=len(words)), 1)[:, None]
+    total = np.stack([np.bincount(owner, e["gram"][grams, i], minlength=len(words)) for i in range(EMBEDDED)], axis=1)
+    return np.concatenate([e["word"][words], (total / n).astype(np.float32)], axis=1)
+
+
 def windows_of(n: int) -> np.ndarray:
     """First words of the windows of a text of n words: one at least, the last one reaching the end."""
     if n <= WINDOW:
@@ -217,6 +240,7 @@ def backward(p, x, valid, y, target, kept):
     dxb = dxb[::-1]
     for d, dx in (("f", dxf), ("b", dxb)):
         g[f"W{d}"], g[f"c{d}"] = np.einsum("tbi,tbk->ik", x, dx), dx.sum(axis=(0, 1))
+    g["inputs"] = dxf @ p["Wf"].T + dxb @ p["Wb"].T
     return g
 
 
@@ -237,9 +261,17 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
     """Parameters and tables, learned from whole texts with labels 0 or 1."""
     rng = np.random.default_rng(seed)
     parts, word_sets, gram_sets = [], [], []
+    # Types of all parts one after another: their embeddings' slots, and the type of each word; the last type is padding.
+    word_slots, gram_slots, gram_bounds, kinds_of, first_type = [], [], [np.zeros(1, np.int64)], [], 0
     for at, words, types, inverse, chars in parse(texts):
         parts.append((at, words.starts, types, inverse, chars))
         grams, bounds, _ = chars
+        of_words, of_grams = embedding_slots(types, grams)
+        word_slots.append(of_words)
+        gram_slots.append(of_grams)
+        gram_bounds.append(bounds[1:] + gram_bounds[-1][-1])
+        kinds_of.append(inverse + first_type)
+        first_type += len(types)
         for i in range(len(words.starts) - 1):
             kinds = np.unique(inverse[words.starts[i] : words.starts[i + 1]])
             n = np.diff(bounds)[kinds]
@@ -266,7 +298,11 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
     # All windows of all documents, as places in one array whose last row is padding.
     sizes = np.array([len(x) for x in x_of])
     begin = np.cumsum(sizes) - sizes
-    flat = np.concatenate([*x_of, np.zeros((1, INPUTS), np.float32)])
+    flat = np.concatenate([*x_of, np.zeros((1, COUNTED), np.float32)])
+    kind = np.concatenate([*kinds_of, [first_type]])
+    word_slots, gram_slots = np.concatenate([*word_slots, [0]]), np.concatenate(gram_slots)
+    gram_bounds = np.concatenate([*gram_bounds, gram_bounds[-1][-1:]])
+    e = {k: (rng.standard_normal((1 << EMBEDDING_BITS, EMBEDDED)) * 0.1).astype(np.float32) for k in ("word", "gram")}
     window_starts = [windows_of(n) for n in sizes]
     doc = np.repeat(np.arange(len(sizes)), [len(w) for w in window_starts])
     place = (begin[doc] + np.concatenate(window_starts))[:, None] + np.arange(WINDOW)
@@ -274,11 +310,29 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
     place = np.where(inside, place, len(flat) - 1)
     strength = np.maximum(flat[:, 0], flat[:, 4])[place].max(axis=1)
 
-    def look(chosen):
-        return np.ascontiguousarray(flat[place[chosen]].transpose(1, 0, 2)), np.ascontiguousarray(inside[chosen].T.astype(np.float32))
+    def look(chosen, shown):
+        """Inputs and validity of windows, and what brings the gradient back to the embeddings, of which those `shown` are not 0."""
+        used, which = np.unique(kind[place[chosen]], return_inverse=True)
+        grams, owner = ragged(gram_bounds, used)
+        slots = word_slots[used], gram_slots[grams], owner
+        learned = embedded({k: v * shown[k] for k, v in e.items()}, *slots)
+        x = np.concatenate([flat[place[chosen]], learned[which.reshape(place[chosen].shape)]], axis=2)
+        return np.ascontiguousarray(x.transpose(1, 0, 2)), np.ascontiguousarray(inside[chosen].T.astype(np.float32)), (which.reshape(place[chosen].shape).T.ravel(), slots)
+
+    def to_embeddings(dx, valid, which, slots, shown):
+        words, grams, owner = slots
+        dx = (dx[:, :, COUNTED:] * valid[:, :, None]).reshape(-1, 2 * EMBEDDED)
+        by_type = np.stack([np.bincount(which, dx[:, i], minlength=len(words)) for i in range(2 * EMBEDDED)], axis=1)
+        n = np.maximum(np.bincount(owner, minlength=len(words)), 1)[:, None]
+        by_gram = (by_type[:, EMBEDDED:] / n)[owner]
+        rows = 1 << EMBEDDING_BITS
+        word = np.stack([np.bincount(words, by_type[:, i], minlength=rows) for i in range(EMBEDDED)], axis=1)
+        gram = np.stack([np.bincount(grams, by_gram[:, i], minlength=rows) for i in range(EMBEDDED)], axis=1)
+        return {"word": (word * shown["word"]).astype(np.float32), "gram": (gram * shown["gram"]).astype(np.float32)}
 
     p = initial(rng)
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
+    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (p | e).items()}
+    everything = dict.fromkeys(e, np.float32(1))
     step = 0
     for turn in range(ROUNDS):
         order = np.lexsort((-strength, doc))
@@ -290,18 +344,22 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
             negative = np.concatenate([negative, rng.choice(clean, min(len(clean), len(negative) // 2), replace=False)])
         for _ in range(STEPS):
             chosen = np.concatenate([rng.choice(positive, MINIBATCH // 3), rng.choice(negative, MINIBATCH - MINIBATCH // 3)])
-            x, valid = look(chosen)
+            shown = {k: (rng.random((1 << EMBEDDING_BITS, 1)) < 0.5).astype(np.float32) * np.float32(2) for k in e}
+            x, valid, back = look(chosen, shown)
             y, kept = forward(p, x, valid, True)
             g = backward(p, x, valid, y, labels[doc[chosen]].astype(np.float32), kept)
+            g |= to_embeddings(g["inputs"], valid, *back, shown)
             step += 1
-            for k in p:  # Adam
-                m, v = moments[k]
-                m += 0.1 * (g[k] - m)
-                v += 0.001 * (g[k] * g[k] - v)
-                p[k] = (p[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+            for whole in (p, e):
+                for k in whole:  # Adam; embeddings learn slowly and decay, so that they tell what many documents share
+                    m, v = moments[k]
+                    m += 0.1 * (g[k] - m)
+                    v += 0.001 * (g[k] * g[k] - v)
+                    rate = RATE if whole is p else RATE * 0.1
+                    whole[k] = (whole[k] * (1 if whole is p else 0.999) - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         if turn < ROUNDS - 1:
-            strength = np.concatenate([forward(p, *look(np.arange(i, min(i + 2048, len(doc))))) for i in range(0, len(doc), 2048)])
-    return {"p": p, "tables": tables(np.arange(len(labels)))}
+            strength = np.concatenate([forward(p, *look(np.arange(i, min(i + 2048, len(doc))), everything)[:2]) for i in range(0, len(doc), 2048)])
+    return {"p": p, "e": e, "tables": tables(np.arange(len(labels)))}
 
 
 def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
@@ -311,7 +369,10 @@ def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
         return out
     p = model["p"]
     for at, words, types, inverse, chars in parse(column):
-        inputs = np.concatenate([inputs_of(model["tables"], types, *chars), np.zeros((1, INPUTS), np.float32)])
+        of_words, of_grams = embedding_slots(types, chars[0])
+        learned = embedded(model["e"], of_words, of_grams, np.repeat(np.arange(len(types)), np.diff(chars[1])))
+        inputs = np.concatenate([inputs_of(model["tables"], types, *chars), learned], axis=1)
+        inputs = np.concatenate([inputs, np.zeros((1, INPUTS), np.float32)])
         # Projections depend on the word type alone, so they are made once a type; the last row is padding.
         fx, bx = inputs @ p["Wf"] + p["cf"], inputs @ p["Wb"] + p["cb"]
         n = words.counts()
