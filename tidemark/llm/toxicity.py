@@ -264,20 +264,20 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
     # Types of all parts one after another: their embeddings' slots, and the type of each word; the last type is padding.
     word_slots, gram_slots, gram_bounds, kinds_of, first_type = [], [], [np.zeros(1, np.int64)], [], 0
     for at, words, types, inverse, chars in parse(texts):
-        parts.append((at, words.starts, types, inverse, chars))
+        parts.append((at, words.starts, types, inverse.astype(np.int32), (chars[0].astype(np.int32), *chars[1:])))
         grams, bounds, _ = chars
         of_words, of_grams = embedding_slots(types, grams)
         word_slots.append(of_words)
-        gram_slots.append(of_grams)
+        gram_slots.append(of_grams.astype(np.int16))
         gram_bounds.append(bounds[1:] + gram_bounds[-1][-1])
-        kinds_of.append(inverse + first_type)
+        kinds_of.append((inverse + first_type).astype(np.int32))
         first_type += len(types)
         for i in range(len(words.starts) - 1):
             kinds = np.unique(inverse[words.starts[i] : words.starts[i + 1]])
             n = np.diff(bounds)[kinds]
             flat = np.repeat(bounds[:-1][kinds] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            word_sets.append(np.unique(word_slot(types[kinds])))
-            gram_sets.append(np.unique(grams[flat]))
+            word_sets.append(np.unique(word_slot(types[kinds])).astype(np.int32))
+            gram_sets.append(np.unique(grams[flat]).astype(np.int32))
 
     one = without_copies(word_sets)
 
@@ -299,15 +299,16 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
     sizes = np.array([len(x) for x in x_of])
     begin = np.cumsum(sizes) - sizes
     flat = np.concatenate([*x_of, np.zeros((1, COUNTED), np.float32)])
-    kind = np.concatenate([*kinds_of, [first_type]])
-    word_slots, gram_slots = np.concatenate([*word_slots, [0]]), np.concatenate(gram_slots)
+    kind = np.concatenate([*kinds_of, np.array([first_type], np.int32)])
+    del x_of, parts, kinds_of  # the task's memory is its executor's
+    word_slots, gram_slots = np.concatenate([*word_slots, [0]]), np.concatenate(gram_slots) if gram_slots else np.zeros(0, np.int16)
     gram_bounds = np.concatenate([*gram_bounds, gram_bounds[-1][-1:]])
     e = {k: (rng.standard_normal((1 << EMBEDDING_BITS, EMBEDDED)) * 0.1).astype(np.float32) for k in ("word", "gram")}
     window_starts = [windows_of(n) for n in sizes]
     doc = np.repeat(np.arange(len(sizes)), [len(w) for w in window_starts])
-    place = (begin[doc] + np.concatenate(window_starts))[:, None] + np.arange(WINDOW)
+    place = ((begin[doc] + np.concatenate(window_starts))[:, None] + np.arange(WINDOW)).astype(np.int32)
     inside = place < (begin + sizes)[doc][:, None]
-    place = np.where(inside, place, len(flat) - 1)
+    place[~inside] = len(flat) - 1
     strength = np.maximum(flat[:, 0], flat[:, 4])[place].max(axis=1)
 
     def look(chosen, shown):
@@ -358,7 +359,7 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> dict:
                     rate = RATE if whole is p else RATE * 0.1
                     whole[k] = (whole[k] * (1 if whole is p else 0.999) - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         if turn < ROUNDS - 1:
-            strength = np.concatenate([forward(p, *look(np.arange(i, min(i + 2048, len(doc))), everything)[:2]) for i in range(0, len(doc), 2048)])
+            strength = np.concatenate([forward(p, *look(np.arange(i, min(i + 512, len(doc))), everything)[:2]) for i in range(0, len(doc), 512)])
     return {"p": p, "e": e, "tables": tables(np.arange(len(labels)))}
 
 
