@@ -4,7 +4,8 @@ Named patterns give the base spans.  Beyond them, candidate strings (long runs o
 token characters) are searched with a sliding window of Shannon entropy for their
 character class: a fold over the characters holds the counts of the window, adds
 the entering and drops the leaving character, and updates sum(c*log2(c)) by the
-two counts that changed.  Candidates on the allow-list are suppressed.
+two counts that changed.  Base spans and leading path segments of plain words are
+cut out of a candidate first; what remains is suppressed if it is on the allow-list.
 
 Offsets count code points.  Spark has no function that returns the positions of
 all matches, so they follow from the lengths of the pieces between the matches.
@@ -36,6 +37,8 @@ ALLOWED = (
     r"^/?([a-z]+[0-9]{0,4}[/_-])+[a-z]*[0-9]{0,4}$",
     r"(?i)example|sample|placeholder|xxxx|changeme",
 )
+#: leading segments of a path, which say nothing about the token behind them
+PATH = r"^/?([a-z]+[0-9]{0,4}/)+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -101,6 +104,24 @@ def random_range(candidate: Column, bits: Column) -> Column:
     return F.aggregate(steps, zero, both)
 
 
+def uncovered(run: Column, base: Column) -> Column:
+    """array<struct<s, m>>: start and text of the parts of a located run outside base spans and without a leading path, WINDOW characters at least."""
+    meet = F.filter(base, lambda b: (b["start"] < run["e"]) & (run["s"] < b["end"]))
+    ends = F.concat(F.array(run["s"]), F.transform(meet, lambda b: b["end"]))
+    starts = F.concat(F.transform(meet, lambda b: b["start"]), F.array(run["e"]))
+
+    def part(to, i):
+        # Base spans are sorted by start but may overlap: the part before one begins where all earlier ones have ended.
+        at = F.array_max(F.slice(ends, 1, i + 1))
+        return F.struct(at.alias("s"), run["m"].substr(at - run["s"] + 1, to - at).alias("m"))
+
+    def behind_path(x):
+        skip = F.length(F.regexp_extract(x["m"], PATH, 0))
+        return F.struct((x["s"] + skip).alias("s"), x["m"].substr(skip + 1, F.length(x["m"])).alias("m"))
+
+    return F.filter(F.transform(F.transform(starts, part), behind_path), lambda x: F.length(x["m"]) >= WINDOW)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, added: two arrays of (start, rank, kind, end), each sorted by start, then kind.
 
@@ -118,6 +139,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     base = F.array_sort(F.concat(*[spans(kind, rank, F.filter(located(text, pattern, group), long_enough(least))) for rank, (kind, pattern, group, least) in enumerate(BASE)]))
 
+    def promising(x):
+        """A digit and a letter are in the run, without which the allow-list takes every part of it."""
+        return x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
+
     def suspicious(x):
         allowed = F.lit(False)
         for pattern in ALLOWED:
@@ -139,10 +164,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             1,
         )
 
-    candidates = F.filter(located(text, CANDIDATE, 0), suspicious)
-    with_base = rows.select("doc_id", base.alias("base"), candidates.alias("candidates"))
-    added = F.when(F.size("candidates") > 0, F.filter(F.transform("candidates", measured), lambda x: x.isNotNull() & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
-    return with_base.select("doc_id", "base", F.coalesce(added, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("added"))
+    with_base = rows.select("doc_id", base.alias("base"), F.filter(located(text, CANDIDATE, 0), promising).alias("runs"))
+    parts = F.filter(F.flatten(F.transform("runs", lambda x: uncovered(x, F.col("base")))), suspicious)
+    with_parts = with_base.select("doc_id", "base", F.when(F.size("runs") > 0, parts).otherwise(F.array().cast("array<struct<s:int,m:string>>")).alias("parts"))
+    added = F.when(F.size("parts") > 0, F.filter(F.transform("parts", measured), lambda x: x.isNotNull()))
+    return with_parts.select("doc_id", "base", F.coalesce(added, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
