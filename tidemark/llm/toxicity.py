@@ -29,6 +29,7 @@ from tidemark.llm.shared import held_out
 
 POSITIVES, NEGATIVES = 1000, 2000  # labelled documents that training uses at most
 WINDOW, STRIDE = 32, 24
+SCORED_BYTES = 1 << 18  # texts that a task scores at once, in bytes; one text at least
 WORD_BITS, GRAM_BITS = 18, 20
 HIDDEN = 8
 COUNTED, EMBEDDED, EMBEDDING_BITS = 6, 4, 12
@@ -43,12 +44,12 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def parse(column: pa.Array):
-    """(first row, words, types, type of each word, (grams, bounds, lengths)) of bounded parts: punctuation separates words.
+def parse(column: pa.Array, budget: int = 1 << 20):
+    """(first row, words, types, type of each word, (grams, bounds, lengths)) of parts of `budget` bytes: punctuation separates words.
 
     types: word hashes; grams: hashed n-grams of all types one after another, those of
     type t in bounds[t]:bounds[t + 1], the ones at the word's start first; lengths in bytes."""
-    for at, part in tk.slices(column, 1 << 20):
+    for at, part in tk.slices(column, budget):
         data, offsets = tk.raw(part)
         data = np.where(_LETTER[data], data, np.uint8(32))
         words = tk.Words(data, offsets)
@@ -369,7 +370,7 @@ def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
     if model is None:
         return out
     p = model["p"]
-    for at, words, types, inverse, chars in parse(column):
+    for at, words, types, inverse, chars in parse(column, SCORED_BYTES):
         of_words, of_grams = embedding_slots(types, chars[0])
         learned = embedded(model["e"], of_words, of_grams, np.repeat(np.arange(len(types)), np.diff(chars[1])))
         inputs = np.concatenate([inputs_of(model["tables"], types, *chars), learned], axis=1)
