@@ -56,6 +56,20 @@ def test_reads_match_a_dictionary(spark):
     assert reads.scan(df, "a", "a").count() == 0
 
 
+@pytest.mark.parametrize("span", (1, 7, 1 << 20))
+def test_history_and_as_of_join_in_ranges(spark, span):
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(6)}", i + 1, rng.random() < 0.2, str(i)) for i in range(80)]
+    versions = {}
+    for k, s, t, v in rows:
+        versions.setdefault(k, []).append((s, t, v))
+    numbered = {(r.k, r.seq): r.version for r in reads.history(log(spark, rows), span).collect()}
+    assert numbered == {(k, s): len(x) - i for k, x in versions.items() for i, (s, _, _) in enumerate(x)}
+    probes = [(k, at, n) for n, (k, at) in enumerate([("hot", 0), ("hot", 1), ("hot", 80), ("hot", 80), ("absent", 5), *((rng.choice(sorted(versions)), rng.randrange(-3, 200)) for _ in range(60))])]
+    found = {r.n: (r.k, r.t, r.seq, r.tomb, r.v) for r in reads.as_of(spark.createDataFrame(probes, "k string, t bigint, n int"), log(spark, rows), "t", span).collect()}
+    assert found == {n: (k, at, *([x for x in versions.get(k, []) if x[0] <= at] or [(None, None, None)])[-1]) for k, at, n in probes}
+
+
 def test_flush_and_compaction_keep_the_scan(spark):
     rng = random.Random(2)
     rows = log(spark, [(f"k{rng.randrange(30):02}", i + 1, rng.random() < 0.4, str(i)) for i in range(200)])

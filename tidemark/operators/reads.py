@@ -48,9 +48,22 @@ def multi_get(rows: DataFrame, keys: DataFrame, snapshot: int | None = None) ->
     return live(rows.join(keys.select("k").distinct(), "k", "left_semi"), snapshot)
 
 
-def history(rows: DataFrame) -> DataFrame:
-    """Every version, numbered from the newest."""
-    return rows.withColumn("version", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("seq"))))
+#: Sequence numbers (or times) of one key that a task sorts together; with unique numbers no more rows of it either.
+SPAN = 1 << 20
+
+
+def history(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """Every version, numbered from the newest.
+
+    A key's versions are numbered within ranges of `span` sequence numbers, and
+    counts of its newer ranges are added, so a hot key is spread over tasks."""
+    ranged = rows.withColumn("__range", F.floor(F.col("seq") / span))
+    newer = Window.partitionBy("k").orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("k", "__range").agg(F.count("*").alias("__n"))
+    before = counts.select("k", "__range", F.coalesce(F.sum("__n").over(newer), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("k", "__range").orderBy(F.desc("seq")))
+    numbered = ranged.withColumn("version", within).join(before, ["k", "__range"])
+    return numbered.select(*rows.columns, (F.col("version") + F.col("__before")).alias("version"))
 
 
 def merge_stream(*sources: DataFrame) -> DataFrame:
@@ -61,14 +74,26 @@ def merge_stream(*sources: DataFrame) -> DataFrame:
     return merged.orderBy("k", F.desc("seq"), "source")
 
 
-def as_of(probes: DataFrame, rows: DataFrame, at: str) -> DataFrame:
-    """Each probe (k, `at`) with the newest version of its key at that time: one shuffle and one window, no range join."""
+def as_of(probes: DataFrame, rows: DataFrame, at: str, span: int = SPAN) -> DataFrame:
+    """Each probe (k, `at`) with the newest version of its key at that time, by windows and without a range join.
+
+    Time is cut into ranges of `span`.  The newest version before each range, found
+    from one row a key and range, enters it as one more version, so that a task
+    sorts one range of a hot key."""
     names = [c for c in probes.columns if c not in ("k", at)]
-    asked = probes.select("k", F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("struct<seq:bigint,tomb:boolean,v:string>").alias("__x"), F.struct(*names).alias("__p"))
-    versions = rows.select("k", F.col("seq").alias("__at"), F.lit(0).alias("__kind"), F.struct("seq", "tomb", "v").alias("__x"), F.lit(None).cast(asked.schema["__p"].dataType).alias("__p"))
-    upto = Window.partitionBy("k").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    joined = asked.unionByName(versions).withColumn("__x", F.last("__x", True).over(upto)).where("__kind = 1")
-    return joined.select("k", F.col("__at").alias(at), "__p.*", "__x.seq", "__x.tomb", "__x.v")
+    version = "struct<seq:bigint,tomb:boolean,v:string>"
+    asked = probes.select("k", F.col(at).cast("bigint").alias("__at"), F.lit(2).alias("__kind"), F.lit(None).cast(version).alias("__x"), F.struct(*names, at).alias("__p"))
+    no_probe = F.lit(None).cast(asked.schema["__p"].dataType).alias("__p")
+    versions = rows.select("k", F.col("seq").alias("__at"), F.lit(1).alias("__kind"), F.struct("seq", "tomb", "v").cast(version).alias("__x"), no_probe)
+    number = F.floor(F.col("__at") / span).alias("__range")
+    newest_of = versions.groupBy("k", number).agg(F.max_by("__x", "__at").alias("__x"))
+    ranges = newest_of.unionByName(asked.select("k", number, "__x").distinct()).groupBy("k", "__range").agg(F.max("__x").alias("__x"))
+    earlier = Window.partitionBy("k").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select("k", "__range", (F.col("__range") * span).alias("__at"), F.lit(0).alias("__kind"), F.last("__x", True).over(earlier).alias("__x"), no_probe)
+    rows_of_all = asked.unionByName(versions).withColumn("__range", F.floor(F.col("__at") / span)).unionByName(carried.where("__x is not null"))
+    upto = Window.partitionBy("k", "__range").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows_of_all.withColumn("__x", F.last("__x", True).over(upto)).where("__kind = 2")
+    return joined.select("k", F.col(f"__p.{at}").alias(at), *[F.col(f"__p.{c}").alias(c) for c in names], "__x.seq", "__x.tomb", "__x.v")
 
 
 def tiered(rows: DataFrame, snapshot: int) -> DataFrame:
