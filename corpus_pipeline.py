@@ -43,7 +43,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No SQL: SQL can express neither the trained network nor the templates; tests hold each stage against a brute-force version of its decisions.
+#: No SQL: SQL can express neither the trained network nor the templates; tests plant cases for every stage; its operator's own tests compare with brute force or SQL, of the network only layers and scores.
 ORACLE_SQL = None
 
 
