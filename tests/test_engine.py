@@ -324,3 +324,15 @@ def test_command_line(spark, tmp_path, capsys):
         code, out, err = call(*bad)
         assert code == 1 and out == "" and err.startswith("error:"), bad
     assert call("get", "--json", "--key", "none")[2] == '{"ok": false, "error": "KeyNotFound"}'
+
+
+def test_files_of_a_run_do_not_grow_with_it(spark, tmp_path):
+    ops = [("put", f"k{i % 700:03}", str(i)) for i in range(1400)] + [("delete", f"k{i:03}", None) for i in range(100)]
+    store = Store.open(spark, f"file://{tmp_path}/s", Config(file_bytes=32, level_base_bytes=1 << 20))
+    store.write_batch(rows_of(spark, ops))
+    held = store.hold_snapshot("all")
+    expected = [(f"k{i:03}", str(i + 700)) for i in range(100, 700)]
+    assert 8 < len(store.manifest["files"]) <= 64 and [(r.k, r.v) for r in store.scan().collect()] == expected
+    store.compact(0)
+    assert 8 < len(store.manifest["files"]) <= 64 and [(r.k, r.v) for r in store.scan(snapshot=held).collect()] == expected
+    assert [store._pieces(n) for n in (0, 32, 33, 64 << 27, 1000 << 27)] == [1, 1, 2, 64, 1000]

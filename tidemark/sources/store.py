@@ -27,6 +27,8 @@ from tidemark.functions.bounds import check_bounds, prefix_end, text_prefix_end
 from tidemark.model import MAX_LEVELS, CommitConflict, Corruption, InvalidConfig, KeyNotFound, KeyTooLarge, StoreClosed, UnknownProperty, WriteStall
 from tidemark.operators import maintain, metrics, reads
 
+LARGE_FILE = 128 << 20
+
 
 @dataclass(frozen=True)
 class Config:
@@ -40,11 +42,12 @@ class Config:
     compaction_trigger_l0_files: int = 4
     compaction_rate_bytes_per_sec: int = 8 * 1024 * 1024
     level_base_bytes: int = 256 << 20
-    file_bytes: int = 128 << 20  # a compaction's output is split into files of about that size
+    file_bytes: int = 128 << 20  # a run is split into files of about that size
+    run_files: int = 64  # beyond so many files a run's are larger, up to 128 MB each
     auto_compact: bool = True
 
     def check(self) -> None:
-        positive = (self.memtable_max_bytes, self.scheduler_queue_limit, self.compaction_rate_bytes_per_sec, self.file_bytes)
+        positive = (self.memtable_max_bytes, self.scheduler_queue_limit, self.compaction_rate_bytes_per_sec, self.file_bytes, self.run_files)
         if min(positive) <= 0 or self.slowdown_l0_files > self.stop_l0_files or self.slowdown_immutable_count > self.stop_immutable_count or not 0 < self.max_key_size < 1 << 16:
             raise InvalidConfig(f"{self}")
 
@@ -185,6 +188,10 @@ class Store:
         self.files.create(f"manifest/{following['version']}.json", json.dumps(following).encode())
         self.manifest = following
 
+    def _pieces(self, size: int) -> int:
+        """Files of a run of `size` bytes; each is a task and a row of the manifest, so small ones are not as many as the run is large."""
+        return max(1, -(-size // max(self.config.file_bytes, min(-(-size // self.config.run_files), LARGE_FILE))))
+
     def _add(self, rows: DataFrame, level: int, run: int, pieces: int) -> list[dict]:
         """Write sorted files that do not overlap and describe each of them."""
         folder = f"data/level={level}/run={run}-{uuid.uuid4().hex[:8]}"
@@ -273,7 +280,7 @@ class Store:
                 typed = rows.join(F.broadcast(offsets), "part").select(F.col("k").cast(self._type()), seq, (F.col("op") == "delete").alias("tomb"), F.when(F.col("op") == "put", F.col("v").cast(self._type())).alias("v"))
                 run = self.manifest["next_run"]
                 size = typed.agg(F.sum(reads.entry_bytes() + maintain.ENTRY_OVERHEAD)).first()[0]
-                added = self._add(typed, 0, run, max(1, -(-size // self.config.file_bytes)))
+                added = self._add(typed, 0, run, self._pieces(size))
                 self._commit(files=self.manifest["files"] + added, next_sequence=base + before, next_run=run + 1, **changes)
             elif stream:
                 self._commit(**changes)
@@ -406,7 +413,7 @@ class Store:
         else:
             merged = maintain.compact_level(self._frame(source), self._frame(target), deeper)
         run = self.manifest["next_run"]
-        added = self._add(merged, level + 1, run, max(1, -(-size // self.config.file_bytes)))
+        added = self._add(merged, level + 1, run, self._pieces(size))
         horizon = max(self.manifest["horizon"], held[0] if held else max(f["max_seq"] for f in source + target))
         self._commit(files=[f for f in files if f["name"] not in gone] + added, next_run=run + 1, horizon=horizon)
         self.counts["compaction"] += 1
