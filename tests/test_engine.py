@@ -8,6 +8,7 @@ from tidemark.functions import bounds, codec
 from tidemark.model import CommitConflict, Corruption, InvalidConfig, KeyNotFound, KeyTooLarge, StoreClosed, UnknownProperty, WriteStall
 from tidemark.operators import algos, maintain, reads
 from tidemark.plans import catalogue
+from tidemark.sources import framed_log
 from tidemark.sources.framed_log import list_fragments, read_framed_log, read_text_run, read_timed_log, write_text_run
 from tidemark.sources.store import Config, Store
 from tidemark.streaming.ingest import ingest, latest_view
@@ -336,3 +337,44 @@ def test_files_of_a_run_do_not_grow_with_it(spark, tmp_path):
     store.compact(0)
     assert 8 < len(store.manifest["files"]) <= 64 and [(r.k, r.v) for r in store.scan(snapshot=held).collect()] == expected
     assert [store._pieces(n) for n in (0, 32, 33, 64 << 27, 1000 << 27)] == [1, 1, 2, 64, 1000]
+
+
+def test_logs_are_cut_into_files_and_decoded_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(framed_log, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(framed_log, "SLICE", 2 * codec.BLOCK)
+    monkeypatch.setattr(framed_log, "OUT_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        rows = spark.range(1, 2001).selectExpr("id as seq", "id as pos", "timestamp_micros(id) as ts", "'put' as op", "false as tomb", "concat('k', id) as k", "repeat(cast(id % 10 as string), if(id = 700, 9000, 90)) as v")
+        expected = [(r.seq, r.k.encode(), r.v.encode()) for r in rows.orderBy("seq").collect()]
+        logs = framed_log.write_framed_log(rows, f"file://{tmp_path}/log", 1).collect()
+        assert len(logs) > 4 and sum(r.records for r in logs) == 2000 and max(r.bytes for r in logs) < 80_000 and sorted(logs)[0].path.endswith(f"/{0:020d}.log")
+        assert [(r.seq, bytes(r.k), bytes(r.v)) for r in read_framed_log(spark, f"file://{tmp_path}/log").orderBy("seq").collect()] == expected
+        assert len(framed_log.archive(rows, f"file://{tmp_path}/old", 1).collect()) > 4
+        back = read_timed_log(spark, f"file://{tmp_path}/old").orderBy("pos").collect()
+        assert [(bytes(r.k), bytes(r.v)) for r in back] == [(k, v) for _, k, v in expected]
+        monkeypatch.setattr(framed_log, "FILE_BYTES", 1 << 30)
+        one, stale = tmp_path / "one", tmp_path / "one" / f"{1:020d}.log"
+        one.mkdir()
+        stale.write_bytes(b"of an attempt before")
+        assert len(framed_log.write_framed_log(rows, f"file://{one}", 1).collect()) == 1 and not stale.exists()
+        data = (one / f"{0:020d}.log").read_bytes()
+        assert len(data) > 4 * codec.BLOCK and [(r.seq, bytes(r.k), bytes(r.v)) for r in read_framed_log(spark, f"file://{one}").orderBy("seq").collect()] == expected
+        assert [(r.position, r.type, r.length) for r in list_fragments(spark, f"file://{one}").orderBy("position").collect()] == [(at, kind, len(part)) for at, kind, part in codec.fragments(data)]
+        assert list(codec.records_of([data[: 2 * codec.BLOCK], data[2 * codec.BLOCK :]])) == list(codec.records(data))
+        with pytest.raises(Corruption):
+            list(codec.records_of([data[: 2 * codec.BLOCK]]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_an_empty_log_file_has_no_rows(spark, tmp_path):
+    (tmp_path / "wal-1").write_bytes(b"")
+    assert read_timed_log(spark, str(tmp_path)).count() == 0 == read_framed_log(spark, str(tmp_path)).count()
+
+
+def test_a_restore_leaves_no_staged_rows(spark, tmp_path):
+    base = Store.open(spark, f"file://{tmp_path}/base")
+    base.put("a", "1")
+    log = spark.createDataFrame([(1, 100, "b", False, "2"), (2, 200, "a", True, None), (3, 300, "c", False, "3")], "pos bigint, ts bigint, k string, tomb boolean, v string")
+    assert [(r.k, r.v) for r in Store.restore(spark, f"file://{tmp_path}/new", base, log, 300).scan().collect()] == [("b", "2")] and not list((tmp_path / "new").glob(".staged*"))

@@ -511,5 +511,11 @@ class Store:
             raise InvalidConfig(f"{path} exists")
         store = cls.open(spark, path, config, base.manifest["binary"])
         found = maintain.restore_until(reads.live(base.rows()).select("k", "v"), log, target)
-        store.write_batch(found.select(F.lit("put").alias("op"), "k", "v", F.col("k").alias("ord")))
+        aside = f".staged-{uuid.uuid4().hex}"
+        try:  # written once, as write_batch reads its rows several times and a log is slow to decode
+            found.write.parquet(f"{store.path}/{aside}")
+            rows = spark.read.schema(found.schema).parquet(f"{store.path}/{aside}")
+            store.write_batch(rows.select(F.lit("put").alias("op"), "k", "v", F.col("k").alias("ord")))
+        finally:
+            store.files.delete(aside)
         return store
