@@ -378,3 +378,25 @@ def test_a_restore_leaves_no_staged_rows(spark, tmp_path):
     base.put("a", "1")
     log = spark.createDataFrame([(1, 100, "b", False, "2"), (2, 200, "a", True, None), (3, 300, "c", False, "3")], "pos bigint, ts bigint, k string, tomb boolean, v string")
     assert [(r.k, r.v) for r in Store.restore(spark, f"file://{tmp_path}/new", base, log, 300).scan().collect()] == [("b", "2")] and not list((tmp_path / "new").glob(".staged*"))
+
+
+@pytest.fixture(scope="module")
+def versions(spark):
+    return spark.range(1800).selectExpr("format_string('k%03d', id * 7 % 600) as k", "id + 1 as seq", "id % 11 = 3 as tomb", "if(id % 11 = 3, null, cast(id as string)) as v")
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, versions, tmp_path_factory):
+    """A store of one run, which would have hundreds of files of `file_bytes`."""
+    store = Store.open(spark, f"file://{tmp_path_factory.mktemp('crowded')}/s", Config(file_bytes=64))
+    store.write_batch(catalogue.operations(versions))
+    return store
+
+
+def same_rows(found, expected):
+    return sorted(found.select("k", "v", "seq").collect()) == sorted(expected.select("k", "v", "seq").collect())
+
+
+def test_a_scan_reads_few_files_of_a_run(versions, crowded):
+    found = crowded.scan()
+    assert 8 < len(found.inputFiles()) <= 64 and same_rows(found, reads.scan(versions))
