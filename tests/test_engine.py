@@ -400,3 +400,9 @@ def same_rows(found, expected):
 def test_a_scan_reads_few_files_of_a_run(versions, crowded):
     found = crowded.scan()
     assert 8 < len(found.inputFiles()) <= 64 and same_rows(found, reads.scan(versions))
+
+
+def test_a_checkpoint_has_few_files_of_a_run(spark, versions, crowded, tmp_path):
+    crowded.checkpoint(f"file://{tmp_path}/copy")
+    copied = list((tmp_path / "copy").rglob("*.parquet"))
+    assert 8 < len(copied) <= 64 and same_rows(Store.open(spark, f"file://{tmp_path}/copy").scan(), reads.scan(versions))
