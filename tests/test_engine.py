@@ -406,3 +406,9 @@ def test_a_checkpoint_has_few_files_of_a_run(spark, versions, crowded, tmp_path)
     crowded.checkpoint(f"file://{tmp_path}/copy")
     copied = list((tmp_path / "copy").rglob("*.parquet"))
     assert 8 < len(copied) <= 64 and same_rows(Store.open(spark, f"file://{tmp_path}/copy").scan(), reads.scan(versions))
+
+
+def test_a_multi_get_reads_few_files_of_a_run(spark, versions, crowded):
+    keys = spark.createDataFrame([(f"k{i:03}",) for i in range(0, 600, 7)] + [("k599",), ("none",)], "k string")
+    found = crowded.multi_get(keys)
+    assert 8 < len(found.inputFiles()) <= 64 and same_rows(found, reads.multi_get(versions, keys))
