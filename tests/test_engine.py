@@ -412,3 +412,8 @@ def test_a_multi_get_reads_few_files_of_a_run(spark, versions, crowded):
     keys = spark.createDataFrame([(f"k{i:03}",) for i in range(0, 600, 7)] + [("k599",), ("none",)], "k string")
     found = crowded.multi_get(keys)
     assert 8 < len(found.inputFiles()) <= 64 and same_rows(found, reads.multi_get(versions, keys))
+
+
+def test_a_range_reads_few_files_of_a_run(versions, crowded):
+    found = crowded.scan("k100", "k400")
+    assert 4 < len(found.inputFiles()) < 48 and same_rows(found, reads.scan(versions, "k100", "k400"))
