@@ -417,3 +417,14 @@ def test_a_multi_get_reads_few_files_of_a_run(spark, versions, crowded):
 def test_a_range_reads_few_files_of_a_run(versions, crowded):
     found = crowded.scan("k100", "k400")
     assert 4 < len(found.inputFiles()) < 48 and same_rows(found, reads.scan(versions, "k100", "k400"))
+
+
+def test_python_gets_a_log_in_pieces(spark, tmp_path, monkeypatch):
+    rows = spark.range(1, 2001).selectExpr("id as seq", "'put' as op", "concat('k', id) as k", "repeat(cast(id % 10 as string), 900) as v")
+    size = sum(r.bytes for r in framed_log.write_framed_log(rows, f"file://{tmp_path}/log", 1).collect())
+    given = []
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(rows), name, lambda df, *_: given.append(df) or df)
+    read_framed_log(spark, f"file://{tmp_path}/log")
+    pieces = [len(r[-1]) for r in given[0].collect()]
+    assert sum(pieces) == size > 1 << 20 and max(pieces) <= 1 << 20
